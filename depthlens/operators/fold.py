@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +112,127 @@ def greedy_starts(o: Ordered, coord: str, gap: float, name: str = "is_start") ->
     return o.with_df(marked.withColumn(name, F.coalesce(name, F.lit(False))))
 
 
+# ---- overlapping sequence numbers -----------------------------------------------------------
+def _merge_steps(firsts, lasts):
+    """Outgoing number as a step function of the incoming one.
+
+    Pieces (low, high, value) cover the incoming numbers; value None passes the number on.
+    A row maps every current number in [first - 1, last - 1] to ``last``.  The function never
+    decreases, so the affected pieces are neighbours.
+    """
+    pieces = [(-np.inf, np.inf, None)]
+    for first, last in zip(firsts, lasts):
+        a, b = first - 1, last - 1
+        out, hit_low, hit_high = [], None, None
+        for low, high, value in pieces:
+            lo, hi = (max(low, a), min(high, b)) if value is None else (
+                (low, high) if a <= value <= b else (1, 0))
+            if lo > hi:
+                out.append((low, high, value))
+                continue
+            if low < lo:
+                out.append((low, lo - 1, value))
+            if hit_low is None:
+                hit_low, at = lo, len(out)
+            hit_high = hi
+            if hi < high:
+                out.append((hi + 1, high, value))
+        if hit_low is not None:
+            out.insert(at, (hit_low, hit_high, last))
+        pieces = out
+    return pieces
+
+
+def _chain_steps(firsts, lasts, top):
+    """Incoming numbers up to ``top`` that some row continues exactly, with the outcome."""
+    now, holders = {}, {}
+    for first, last in zip(firsts, lasts):
+        moved = holders.pop(first - 1, [])
+        if first - 1 <= top and first - 1 not in now:
+            moved = [*moved, first - 1]
+        for start in moved:
+            now[start] = last
+        if moved:
+            holders.setdefault(last, []).extend(moved)
+    points = [(start, start, out) for start, out in sorted(now.items())]
+    return points or [(-np.inf, -np.inf, None)]
+
+
+def sequence_walk(
+    o: Ordered, first: str, last: str, known: str, strict: bool = False
+) -> DataFrame:
+    """Add ``status`` of sequence ranges against a known number that starts at ``known``.
+
+    duplicate: ends at or before the known number; gap: starts beyond the next one;
+    otherwise ok, and the known number becomes the end of the range.  With ``strict`` a range
+    is ok only if it starts at the next number; anything else is a gap.
+    """
+    keys = list(o.keys)
+    fields = _key_fields(o)
+    d, b = T.DoubleType(), T.LongType()
+    slim = o.df.select(*keys, RN, F.col(first).cast("double").alias("f"),
+                       F.col(last).cast("double").alias("l"),
+                       F.col(known).cast("double").alias("m"))
+    out_schema = _schema(fields, **{RN: b, "__code": T.IntegerType()})
+
+    def walk(pdf, start):
+        pdf = pdf.sort_values(RN)
+        code = np.zeros(len(pdf), dtype=np.int32)
+        for i, (f, l) in enumerate(zip(pdf["f"].to_numpy(), pdf["l"].to_numpy())):
+            if l <= start and not strict:
+                code[i] = 1
+            elif f > start + 1 or (strict and f != start + 1):
+                code[i] = 2
+            else:
+                start = l
+        out = {k: pdf[k].to_numpy(dtype=object) for k in keys}
+        return pd.DataFrame({**out, RN: pdf[RN].to_numpy(), "__code": code})
+
+    if not o.blocked:
+        coded = slim.groupBy(*keys).applyInPandas(
+            lambda pdf: walk(pdf, float(pdf["m"].iloc[0])), out_schema)
+    else:
+        # no number beyond ``top``, the largest one seen before, can enter a block
+        slim = o.with_df(slim).running(
+            {"top": ("max", F.greatest("m", "l"))}, inclusive=False
+        ).col("top", F.coalesce("top", "m")).df
+        slim = slim.withColumn(_BLK, F.floor(F.col(RN) / o.block).cast("bigint"))
+
+        def summary(pdf):
+            pdf = pdf.sort_values(RN)
+            top = float(pdf["top"].iloc[0])
+            steps = _chain_steps(pdf["f"], pdf["l"], top) if strict else [
+                p for p in _merge_steps(pdf["f"], pdf["l"]) if p[0] <= top]
+            steps = pd.DataFrame(steps, columns=["low", "high", "out"])
+            steps["out"] = steps["out"].astype(float)
+            for k in [*keys, _BLK, "m"]:
+                steps[k] = pdf[k].iloc[0]
+            return steps[[*keys, _BLK, "m", "low", "high", "out"]]
+
+        def chain(pdf):
+            number, rows = float(pdf["m"].iloc[0]), []
+            for blk, part in pdf.sort_values([_BLK, "low"]).groupby(_BLK, sort=True):
+                rows.append((blk, number))
+                at = int(np.searchsorted(part["low"].to_numpy(), number, side="right")) - 1
+                if at >= 0 and number <= part["high"].to_numpy()[at]:
+                    out = part["out"].to_numpy()[at]
+                    number = number if np.isnan(out) else float(out)
+            res = pd.DataFrame(rows, columns=[_BLK, "carry"])
+            for k in keys:
+                res[k] = pdf[k].iloc[0]
+            return res[[*keys, _BLK, "carry"]]
+
+        steps = slim.groupBy(*keys, _BLK).applyInPandas(summary, _schema(
+            fields, **{_BLK: b, "m": d, "low": d, "high": d, "out": d}))
+        carry = steps.groupBy(*keys).applyInPandas(
+            chain, _schema(fields, **{_BLK: b, "carry": d}))
+        coded = slim.join(carry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(
+            lambda pdf: walk(pdf, float(pdf["carry"].iloc[0])), out_schema)
+    status = F.when(F.col("__code") == 1, "duplicate").when(F.col("__code") == 2, "gap").otherwise("ok")
+    return o.df.drop("status").join(
+        coded.select(*keys, RN, status.alias("status")), [*keys, RN])
+
+
 # ---- decision state machine ------------------------------------------------------------------
 IDLE, ARMED, FIRED, COOLDOWN = 0, 1, 2, 3
 
