@@ -302,3 +302,18 @@ def _mean_of_last(rows: DataFrame, value: str, order: str, keep: int, warm: int)
         "vpin": F.avg(value).over(w.rowsBetween(1 - keep, 0))})
     warmup = F.least(F.col(RN) + 1, F.lit(keep))
     return o.cols({"warmup": warmup, "valid": warmup >= warm}).result()
+
+
+def price_spread(trades: DataFrame) -> DataFrame:
+    """Median, sample deviation, MAD and scaled MAD of the price per symbol.
+
+    Prices are first counted per distinct price (map-side), so a busy symbol reaches the
+    exact percentile as a short histogram.
+    """
+    ticks = trades.groupBy("symbol", "price").agg(F.count("*").alias("n"))
+    center = ticks.groupBy("symbol").agg(F.percentile("price", 0.5, F.col("n")).alias("median"))
+    away = ticks.join(center, "symbol").withColumn("dev", F.abs(F.col("price") - F.col("median")))
+    mads = away.groupBy("symbol").agg(
+        F.first("median").alias("median"), F.percentile("dev", 0.5, F.col("n")).alias("mad"))
+    stds = trades.groupBy("symbol").agg(F.stddev_samp("price").alias("std"))
+    return mads.join(stds, "symbol").withColumn("robust_std", F.col("mad") * 1.4826)
