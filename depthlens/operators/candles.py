@@ -81,9 +81,9 @@ def atr(o: Ordered, n: int = 14, name: str = "atr") -> Ordered:
 
 
 def vwap(o: Ordered, name: str = "vwap") -> Ordered:
-    typical = (F.col("h") + F.col("l") + F.col("c")) / 3.0
-    o = o.running({"__pv": ("sum", typical * F.col("v")), "__v": ("sum", F.col("v"))})
-    value = F.coalesce(F.col("__pv") / F.nullif(F.col("__v"), F.lit(0.0)), F.col("c"))
+    tripled = F.col("h") + F.col("l") + F.col("c")
+    o = o.running({"__pv": ("sum", tripled * F.col("v")), "__v": ("sum", F.col("v"))})
+    value = F.coalesce(F.col("__pv") / F.nullif(3.0 * F.col("__v"), F.lit(0.0)), F.col("c"))
     return o.col(name, value).drop("__pv", "__v")
 
 
@@ -138,11 +138,11 @@ def indicator_frame(
         "bb_upper": F.col("sma_20") + 2.0 * F.col("__sd"),
         "bb_lower": F.col("sma_20") - 2.0 * F.col("__sd"),
     }).drop("__sd")
-    typical = (F.col("h") + F.col("l") + F.col("c")) / 3.0
-    sums = {"__pv": ("sum", typical * F.col("v")), "__v": ("sum", F.col("v")),
+    tripled = F.col("h") + F.col("l") + F.col("c")
+    sums = {"__pv": ("sum", tripled * F.col("v")), "__v": ("sum", F.col("v")),
             "__r": ("sum", F.col("h") - F.col("l"))}
     o = o.running(sums)
-    o = o.col("vwap", F.coalesce(F.col("__pv") / F.nullif(F.col("__v"), F.lit(0.0)), F.col("c")))
+    o = o.col("vwap", F.coalesce(F.col("__pv") / F.nullif(3.0 * F.col("__v"), F.lit(0.0)), F.col("c")))
     if causal:
         n = F.col(RN) + 1
         o = o.cols({"__avg_v": F.col("__v") / n, "avg_range": F.col("__r") / n})
@@ -179,9 +179,9 @@ def market_state(candles: DataFrame) -> DataFrame:
         "previous_price": F.coalesce(F.lag("c").over(w), F.lit(0.0)),
         "sma50": _warm(50, F.avg("c").over(w.rowsBetween(-49, 0)))})
     ret = F.when(F.col("previous_price") > 0, F.col("c") / F.col("previous_price") - 1.0)
-    typical = (F.col("h") + F.col("l") + F.col("c")) / 3.0
+    tripled = F.col("h") + F.col("l") + F.col("c")
     o = o.col("__ret", ret).running({
-        "__pv": ("sum", typical * F.col("v")), "__v": ("sum", F.col("v")),
+        "__pv": ("sum", tripled * F.col("v")), "__v": ("sum", F.col("v")),
         "high": ("max", F.col("h")), "low": ("min", F.col("l")),
         "__n": ("count", F.col("__ret")), "__s1": ("sum", F.col("__ret")),
         "__s2": ("sum", F.col("__ret") * F.col("__ret")),
@@ -189,7 +189,7 @@ def market_state(candles: DataFrame) -> DataFrame:
     mean = F.col("__s1") / F.nullif(F.col("__n"), F.lit(0))
     var = F.greatest(F.col("__s2") / F.nullif(F.col("__n"), F.lit(0)) - mean * mean, F.lit(0.0))
     return o.cols({
-        "vwap": F.coalesce(F.col("__pv") / F.nullif(F.col("__v"), F.lit(0.0)), F.col("c")),
+        "vwap": F.coalesce(F.col("__pv") / F.nullif(3.0 * F.col("__v"), F.lit(0.0)), F.col("c")),
         "avg_volume": F.col("__v") / (F.col(RN) + 1),
         "atr14": F.when(first, 0.0).otherwise(F.col("atr14")),
         "volatility": F.when(F.col("__n") >= 2, F.sqrt(var)).otherwise(0.0),
