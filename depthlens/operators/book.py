@@ -19,7 +19,9 @@ def sort_sides(books: DataFrame) -> DataFrame:
         "bids": F.sort_array("bids", asc=False), "asks": F.sort_array("asks", asc=True)})
 
 
-def ordered_books(books: DataFrame) -> Ordered:
+def ordered_books(books: DataFrame | Ordered) -> Ordered:
+    if isinstance(books, Ordered):
+        return books
     return order_rows(books, ["symbol"], ["ts_ms", "seq"])
 
 
@@ -208,7 +210,8 @@ def wall_levels(books: DataFrame, mult: float = 3.0, depth: int = 15) -> DataFra
             F.posexplode(bk.top(F.col(c), depth)).alias("rank", "l")))
     walls = rows[0].unionByName(rows[1]).select("*", "l.price", "l.qty").drop("l")
     walls = walls.filter(F.col("qty") > F.col("median_qty") * F.col("__f")).drop("__f")
-    w = order_rows(walls, ["symbol", "side", "price"], ["book"])
+    # a price occurs once per side of a book
+    w = order_rows(walls, ["symbol", "side", "price"], ["book"], within=o)
     w = w.frame(1, 0, lambda win: {
         "__pb": F.lag("book").over(win), "prev_qty": F.lag("qty").over(win)})
     new = F.coalesce(F.col("__pb") != F.col("book") - 1, F.lit(True))

@@ -181,10 +181,10 @@ def quote_manipulation(books: DataFrame, min_notional: float = 30_000.0, max_age
     rows = rows.groupBy("symbol", "side", "price", "step").agg(
         F.max("ts_ms").alias("ts_ms"), F.max("qty").alias("qty"))
     key = ["symbol", "side", "price"]
-    k = order_rows(rows, key, ["step"]).frame(1, 0, lambda w: {"__pt": F.lag("ts_ms").over(w)})
+    k = order_rows(rows, key, ["step"], within=o).frame(1, 0, lambda w: {"__pt": F.lag("ts_ms").over(w)})
     fresh = F.coalesce(F.col("ts_ms") - F.col("__pt") > max_age_ms, F.lit(True))
     k = k.running({"__life": ("sum", fresh.cast("bigint"))})
-    k = order_rows(k.df.drop("__pt", RN), [*key, "__life"], ["step"])
+    k = order_rows(k.df.drop("__pt", RN), [*key, "__life"], ["step"], within=k)
     k = k.running({"__born": ("max", F.coalesce(F.col("price") * F.col("qty") >= min_notional, F.lit(False)))})
     k = k.where(F.col("__born"))
     k = k.running({

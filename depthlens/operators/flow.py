@@ -19,7 +19,9 @@ def _notional() -> Column:
     return F.col("price") * F.col("qty")
 
 
-def ordered_trades(trades: DataFrame) -> Ordered:
+def ordered_trades(trades: DataFrame | Ordered) -> Ordered:
+    if isinstance(trades, Ordered):
+        return trades
     return order_rows(trades, ["symbol"], ["ts_ms", "trade_id"])
 
 

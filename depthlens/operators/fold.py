@@ -29,6 +29,46 @@ def _schema(fields, **extra):
     return T.StructType([*fields, *[T.StructField(n, t) for n, t in extra.items()]])
 
 
+def _walk(df: DataFrame, groups, values, out_schema, start, step) -> DataFrame:
+    """Walk the sorted rows of each group, batch by batch, with a state carried along.
+
+    ``start(row values)`` gives a group's first state; ``step(value arrays, state)`` returns
+    (picked positions, extra output arrays, state).  Memory is one Arrow batch.
+    """
+    keys = [f.name for f in out_schema][: len(out_schema) - 1 - len(values["out"])]
+    columns = values["in"]
+
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            ids = [pdf[g].to_numpy(dtype=object) for g in groups]
+            arrays = {c: pdf[c].to_numpy() for c in columns}
+            change = np.ones(n, bool)
+            change[1:] = np.logical_or.reduce([i[1:] != i[:-1] for i in ids])
+            cuts = [*np.flatnonzero(change), n]
+            picked, extras = [], []
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(i[lo] for i in ids)
+                part = {c: a[lo:hi] for c, a in arrays.items()}
+                if key != current:
+                    current, state = key, start({c: a[0] for c, a in part.items()})
+                at, extra, state = step(part, state)
+                picked.append(np.asarray(at, dtype=np.int64) + lo)
+                extras.append(extra)
+            at = np.concatenate(picked)
+            out = {k: pdf[k].to_numpy(dtype=object)[at] for k in keys}
+            out[RN] = pdf[RN].to_numpy()[at]
+            for j, name in enumerate(values["out"]):
+                out[name] = np.concatenate([np.asarray(e[j]) for e in extras])
+            yield pd.DataFrame(out)
+
+    laid = df.repartition(*groups).sortWithinPartitions(*groups, RN)
+    return laid.mapInPandas(run, out_schema)
+
+
 def _rle(upto, *values):
     """Drop steps whose outcome equals that of the next step."""
     frame = pd.DataFrame({"upto": upto, **{f"v{i}": v for i, v in enumerate(values)}})
@@ -54,21 +94,19 @@ def greedy_starts(o: Ordered, coord: str, gap: float, name: str = "is_start") ->
     slim = o.df.select(*keys, RN, F.col(coord).cast("double").alias("c"))
     starts_schema = T.StructType([*fields, rn_field])
 
-    def chosen(pdf, carry):
-        pdf = pdf.sort_values(RN)
-        c = pdf["c"].to_numpy()
-        p = 0 if np.isnan(carry) else int(np.searchsorted(c, carry + gap))
-        nxt = np.searchsorted(c, c + gap)
+    def step(part, last):
+        c = part["c"]
+        p = 0 if np.isnan(last) else int(np.searchsorted(c, last + gap))
         picks = []
         while p < len(c):
             picks.append(p)
-            p = int(nxt[p])
-        return pdf.iloc[picks][[*keys, RN]]
+            last = c[p]
+            p = int(np.searchsorted(c, last + gap))
+        return picks, (), last
 
     if not o.blocked:
-        starts = slim.groupBy(*keys).applyInPandas(
-            lambda pdf: chosen(pdf, float("nan")), starts_schema
-        )
+        starts = _walk(slim, keys, {"in": ["c"], "out": []}, starts_schema,
+                       lambda row: float("nan"), step)
     else:
         slim = slim.withColumn(_BLK, F.floor(F.col(RN) / o.block).cast("bigint"))
 
@@ -106,8 +144,9 @@ def greedy_starts(o: Ordered, coord: str, gap: float, name: str = "is_start") ->
             summary, _schema(fields, **{_BLK: b, "upto": d, "out": d}))
         carry = steps.groupBy(*keys).applyInPandas(
             chain, _schema(fields, **{_BLK: b, "carry": d}))
-        starts = slim.join(carry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(
-            lambda pdf: chosen(pdf, float(pdf["carry"].iloc[0])), starts_schema)
+        starts = _walk(slim.join(carry, [*keys, _BLK]), [*keys, _BLK],
+                       {"in": ["c", "carry"], "out": []}, starts_schema,
+                       lambda row: float(row["carry"]), step)
     marked = o.df.join(starts.withColumn(name, F.lit(True)), [*keys, RN], "left")
     return o.with_df(marked.withColumn(name, F.coalesce(name, F.lit(False))))
 
@@ -175,22 +214,20 @@ def sequence_walk(
                        F.col(known).cast("double").alias("m"))
     out_schema = _schema(fields, **{RN: b, "__code": T.IntegerType()})
 
-    def walk(pdf, start):
-        pdf = pdf.sort_values(RN)
-        code = np.zeros(len(pdf), dtype=np.int32)
-        for i, (f, l) in enumerate(zip(pdf["f"].to_numpy(), pdf["l"].to_numpy())):
-            if l <= start and not strict:
+    def step(part, number):
+        code = np.zeros(len(part["f"]), dtype=np.int32)
+        for i, (f, l) in enumerate(zip(part["f"], part["l"])):
+            if l <= number and not strict:
                 code[i] = 1
-            elif f > start + 1 or (strict and f != start + 1):
+            elif f > number + 1 or (strict and f != number + 1):
                 code[i] = 2
             else:
-                start = l
-        out = {k: pdf[k].to_numpy(dtype=object) for k in keys}
-        return pd.DataFrame({**out, RN: pdf[RN].to_numpy(), "__code": code})
+                number = l
+        return np.arange(len(code)), (code,), number
 
     if not o.blocked:
-        coded = slim.groupBy(*keys).applyInPandas(
-            lambda pdf: walk(pdf, float(pdf["m"].iloc[0])), out_schema)
+        coded = _walk(slim, keys, {"in": ["f", "l", "m"], "out": ["__code"]}, out_schema,
+                      lambda row: row["m"], step)
     else:
         # no number beyond ``top``, the largest one seen before, can enter a block
         slim = o.with_df(slim).running(
@@ -226,8 +263,9 @@ def sequence_walk(
             fields, **{_BLK: b, "m": d, "low": d, "high": d, "out": d}))
         carry = steps.groupBy(*keys).applyInPandas(
             chain, _schema(fields, **{_BLK: b, "carry": d}))
-        coded = slim.join(carry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(
-            lambda pdf: walk(pdf, float(pdf["carry"].iloc[0])), out_schema)
+        coded = _walk(slim.join(carry, [*keys, _BLK]), [*keys, _BLK],
+                      {"in": ["f", "l", "carry"], "out": ["__code"]}, out_schema,
+                      lambda row: row["carry"], step)
     status = F.when(F.col("__code") == 1, "duplicate").when(F.col("__code") == 2, "gap").otherwise("ok")
     return o.df.drop("status").join(
         coded.select(*keys, RN, status.alias("status")), [*keys, RN])
@@ -339,25 +377,22 @@ def decision_fires(
     )
     out_schema = _schema(fields, **{RN: b, "buy": T.BooleanType()})
 
-    def ticks(pdf):
-        return _Ticks(pdf["t"].to_numpy(), pdf["s"].to_numpy(), threshold, dwell_ms, cooldown_ms)
-
-    def fires(pdf, state):
-        pdf = pdf.sort_values(RN)
-        block = ticks(pdf)
-        rows = np.array(block.walk(state)[0], dtype=int)
-        out = {k: pdf[k].to_numpy(dtype=object)[rows] for k in keys}
-        return pd.DataFrame({**out, RN: pdf[RN].to_numpy()[rows], "buy": block.buy[rows]})
+    def step(part, state):
+        block = _Ticks(part["t"], part["s"], threshold, dwell_ms, cooldown_ms)
+        rows, state = block.walk(state)
+        rows = np.array(rows, dtype=np.int64)
+        return rows, (block.buy[rows],), state
 
     if not o.blocked:
-        return named(slim.groupBy(*keys).applyInPandas(
-            lambda pdf: fires(pdf, (IDLE, 0, 0.0)), out_schema))
+        return named(_walk(slim, keys, {"in": ["t", "s"], "out": ["buy"]}, out_schema,
+                           lambda row: (IDLE, 0, 0.0), step))
 
     slim = slim.withColumn(_BLK, F.floor(F.col(RN) / o.block).cast("bigint"))
 
     def summary(pdf):
         pdf = pdf.sort_values(RN)
-        block = ticks(pdf)
+        block = _Ticks(
+            pdf["t"].to_numpy(), pdf["s"].to_numpy(), threshold, dwell_ms, cooldown_ms)
         after = block.idle_outcomes()
         t, n = block.ts, block.n
 
@@ -407,6 +442,7 @@ def decision_fires(
         _BLK: b, "kind": i4, "side": i4, "upto": d, "out_kind": i4, "out_side": i4, "out_ts": d}))
     carry = steps.groupBy(*keys).applyInPandas(
         chain, _schema(fields, **{_BLK: b, "kind": i4, "side": i4, "since": d}))
-    return named(slim.join(carry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(
-        lambda pdf: fires(pdf, (int(pdf["kind"].iloc[0]), int(pdf["side"].iloc[0]),
-                                float(pdf["since"].iloc[0]))), out_schema))
+    return named(_walk(
+        slim.join(carry, [*keys, _BLK]), [*keys, _BLK],
+        {"in": ["t", "s", "kind", "side", "since"], "out": ["buy"]}, out_schema,
+        lambda row: (int(row["kind"]), int(row["side"]), float(row["since"])), step))

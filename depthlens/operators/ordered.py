@@ -200,11 +200,19 @@ def order_rows(
     keys: Sequence[str],
     order: Sequence[str],
     block: int | None = None,
+    within: Ordered | None = None,
 ) -> Ordered:
-    """Number the rows of each key by ``order`` (which must be unique per key)."""
+    """Number the rows of each key by ``order`` (which must be unique per key).
+
+    ``within``: an ordering whose keys are a subset of ``keys`` and that has at least as many
+    rows per key; if its keys fit in a block, these do too and need not be counted.
+    """
     keys = tuple(keys)
-    block = block or configured_block_rows(df.sparkSession)
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    block = block or (within.block if within else configured_block_rows(df.sparkSession))
+    if within is not None and within.max_rows <= block:
+        biggest = within.max_rows
+    else:
+        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if biggest <= block:
         w = Window.partitionBy(*keys).orderBy(*order)
         return Ordered(

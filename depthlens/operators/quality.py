@@ -95,7 +95,7 @@ def strict_delta_chain(feed: DataFrame) -> DataFrame:
     })
     base = o.df.drop("__prev", "__first", "__stuck").withColumn("status", F.lit("ok"))
     tail = base.filter("__lost").withColumnRenamed(RN, "__at")
-    walked = sequence_walk(order_rows(tail, ["symbol", "epoch"], ["__at"]),
+    walked = sequence_walk(order_rows(tail, ["symbol", "epoch"], ["__at"], within=o),
                            "first_seq", "last_seq", "__m", strict=True)
     rows = base.filter("not __lost").drop("__lost", "__m", RN).unionByName(
         walked.drop("__lost", "__m", "__at", RN))
@@ -133,7 +133,7 @@ def sequence_status(feed: DataFrame) -> DataFrame:
     settled = base.filter("not __in_gap").drop("__in_gap", "__m", RN)
     tail = base.filter("__in_gap").withColumnRenamed(RN, "__at")
     walked = sequence_walk(
-        order_rows(tail, ["symbol", "epoch"], ["__at"]), "first_seq", "last_seq", "__m")
+        order_rows(tail, ["symbol", "epoch"], ["__at"], within=o), "first_seq", "last_seq", "__m")
     return settled.unionByName(walked.drop("__in_gap", "__m", "__at", RN))
 
 

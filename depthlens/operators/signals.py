@@ -246,9 +246,9 @@ def cascade_chains(liqs: DataFrame, gap_ms: int = 2000, anchored: bool = True) -
     turn = F.coalesce(F.col("__ps") != F.col("side"), F.lit(True))
     if anchored:
         o = o.running({"__run": ("sum", turn.cast("bigint"))})
-        runs = order_rows(o.df.drop(RN), ["symbol", "__run"], ["ts_ms", "trade_id"])
+        runs = order_rows(o.df.drop(RN), ["symbol", "__run"], ["ts_ms", "trade_id"], within=o)
         starts = greedy_starts(runs, "ts_ms", gap_ms, "__start").df
-        o = order_rows(starts.drop(RN, "__run"), ["symbol"], ["ts_ms", "trade_id"])
+        o = order_rows(starts.drop(RN, "__run"), ["symbol"], ["ts_ms", "trade_id"], within=o)
     else:
         o = o.col("__start", turn | (F.col("ts_ms") - F.col("__pt") >= gap_ms))
     o = o.running({
@@ -325,7 +325,7 @@ def iceberg_hits(trades: DataFrame, books: DataFrame, min_notional: float = 50_0
     key = ["symbol", "book_side", "level"]
     o = order_rows(j, key, ["ts_ms", "trade_id"]).frame(1, 0, lambda w: {"__pt": F.lag("ts_ms").over(w)})
     o = o.running({"life": ("sum", F.coalesce(F.col("ts_ms") - F.col("__pt") > timeout_ms, F.lit(True)).cast("bigint"))})
-    s = order_rows(o.df.drop("__pt", RN), [*key, "life"], ["ts_ms", "trade_id"])
+    s = order_rows(o.df.drop("__pt", RN), [*key, "life"], ["ts_ms", "trade_id"], within=o)
     s = s.running({"absorbed": ("sum", F.col("notional"))}).col("hits", F.col(RN) + 1)
     size = F.col("absorbed") / F.col("hits") / F.col("mid") / F.greatest("displayed", F.lit(0.001))
     s = s.col("ratio", size)
@@ -393,9 +393,10 @@ def admit(signals: DataFrame, cooldown_ms: int = 8000, min_conf: float = 60.0, m
     signals of the direction lie in the last 30 s and 30 rows.
     """
     one = signals.dropDuplicates(["symbol", *ORDER])
-    o = order_rows(one, ["symbol", "type"], ["ts_ms", "direction", "price"])
+    all_rows = order_rows(one, ["symbol"], ORDER)
+    o = order_rows(one, ["symbol", "type"], ["ts_ms", "direction", "price"], within=all_rows)
     kept = greedy_starts(o, "ts_ms", cooldown_ms, "__in").df.filter("__in").drop("__in", RN)
-    a = order_rows(kept, ["symbol"], ORDER)
+    a = order_rows(kept, ["symbol"], ORDER, within=all_rows)
     a = a.frame(memory_rows, 0, lambda w: {"__back": F.collect_list(F.struct(
         "ts_ms", "direction")).over(w.rowsBetween(-memory_rows, -1))})
     allies = F.size(F.filter("__back", lambda s: (s["ts_ms"] >= F.col("ts_ms") - memory_ms)
