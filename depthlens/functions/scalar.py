@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 # ---- statistics -----------------------------------------------------------------------
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
+    # least and greatest pass over NULL, which must stay NULL here
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
 
 
 def z_score(value: Column, mean: Column, sigma: Column) -> Column:

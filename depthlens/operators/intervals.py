@@ -99,7 +99,8 @@ def first_touch(
 ) -> DataFrame:
     """First price in (start_ms, end_ms] at or beyond a barrier of each plan.
 
-    ``plans``: key, plan_id, start_ms, end_ms, lo, hi (either barrier may be NULL).
+    ``plans``: key, plan_id, start_ms, end_ms, lo, hi (either barrier may be NULL) and, to start
+    inside a millisecond, start_id: the trade id after which prices of start_ms count.
     ``prices``: key, ts_ms, trade_id, price.  Adds touch_ts, touch_price, touched ('lo',
     'hi' or NULL).  ``strict`` asks for prices beyond the barrier.
 
@@ -120,12 +121,14 @@ def first_touch(
     binned = prices.select(key, "ts_ms", "trade_id", "price").withColumn("__bin", bin_of("ts_ms"))
     summary = binned.groupBy(key, "__bin").agg(
         F.min("price").alias("__min"), F.max("price").alias("__max"))
-    slim = plans.select(key, plan_id, "start_ms", "end_ms", "lo", "hi")
+    start_id = F.col("start_id") if "start_id" in plans.columns else F.lit(None)
+    slim = plans.select(key, plan_id, "start_ms", "end_ms", "lo", "hi",
+                        start_id.cast("bigint").alias("start_id"))
     spread = slim.withColumn("__first", bin_of("start_ms")).withColumn(
         "__bin", F.explode(F.sequence(F.col("__first"), bin_of("end_ms"))))
     possible = spread.join(summary, [key, "__bin"]).filter(
         hit_low(F.col("__min")) | hit_high(F.col("__max")))
-    plan_cols = [key, plan_id, "start_ms", "end_ms", "lo", "hi"]
+    plan_cols = [key, plan_id, "start_ms", "end_ms", "lo", "hi", "start_id"]
     # the start and end bins are only partly inside the plan's interval; every bin between
     # them that passes the summary test does hold a touch
     wanted = possible.groupBy(*plan_cols).agg(
@@ -133,7 +136,9 @@ def first_touch(
         F.min(F.when(F.col("__bin") > F.col("__first"), F.col("__bin"))).alias("__b1"),
     ).withColumn("__bin", F.explode(F.array_compact(F.array("__b0", "__b1"))))
     touches = wanted.join(binned, [key, "__bin"]).filter(
-        (F.col("ts_ms") > F.col("start_ms")) & (F.col("ts_ms") <= F.col("end_ms"))
+        ((F.col("ts_ms") > F.col("start_ms"))
+         | ((F.col("ts_ms") == F.col("start_ms")) & (F.col("trade_id") > F.col("start_id"))))
+        & (F.col("ts_ms") <= F.col("end_ms"))
         & (hit_low(F.col("price")) | hit_high(F.col("price")))
     ).groupBy(key, plan_id).agg(F.min(F.struct(
         "ts_ms", "trade_id", "price",

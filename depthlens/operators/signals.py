@@ -13,7 +13,7 @@ from depthlens.functions.scalar import clamp, decayed, round_half_up
 from depthlens.operators.book import ordered_books
 from depthlens.operators.fold import greedy_starts
 from depthlens.operators.intervals import asof, first_touch, range_frame
-from depthlens.operators.ordered import RN, order_rows
+from depthlens.operators.ordered import RN, order_rows, top_k
 
 
 def _signal(df: DataFrame, kind, direction: Column, conf, price) -> DataFrame:
@@ -508,20 +508,14 @@ def signal_counts(signals: DataFrame) -> DataFrame:
 def recent_list(signals: DataFrame, now: DataFrame, k: int = 30, max_age_ms: int = 120_000) -> DataFrame:
     """The newest ``k`` signals of each symbol within ``max_age_ms`` of ``now_ms``, decayed.
 
-    ``now``: symbol, now_ms.  The newest k are taken per symbol and hash part first, so a
-    busy symbol is cut down in parallel.
+    ``now``: symbol, now_ms.
     """
-    from pyspark.sql import Window
     live = signals.join(now, "symbol").filter(
         (F.col("now_ms") - F.col("ts_ms") <= max_age_ms) & (F.col("ts_ms") <= F.col("now_ms")))
     newest = [F.desc("ts_ms"), F.desc("type"), F.desc("direction"), F.desc("price")]
-    part = live.withColumn("__part", F.pmod(F.xxhash64("ts_ms", "type", "price"), F.lit(256)))
-    w1 = Window.partitionBy("symbol", "__part").orderBy(*newest)
-    w2 = Window.partitionBy("symbol").orderBy(*newest)
-    top = part.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= k)
-    top = top.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+    top = top_k(live, ["symbol"], newest, k)
     conf = decayed(F.col("conf"), F.col("type"), F.col("now_ms") - F.col("ts_ms"))
-    return top.withColumn("decayed_conf", conf).drop("__part", "__r")
+    return top.withColumn("decayed_conf", conf)
 
 
 # Evidence tags by the text a signal type contains.
