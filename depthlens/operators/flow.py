@@ -25,6 +25,10 @@ def ordered_trades(trades: DataFrame | Ordered) -> Ordered:
     return order_rows(trades, ["symbol"], ["ts_ms", "trade_id"])
 
 
+def _rows(trades: DataFrame | Ordered) -> DataFrame:
+    return trades.result() if isinstance(trades, Ordered) else trades
+
+
 # ---- running measures -----------------------------------------------------------------
 def cumulative_delta(trades: DataFrame) -> DataFrame:
     """Cumulative signed notional (``cvd``) after each trade."""
@@ -33,8 +37,14 @@ def cumulative_delta(trades: DataFrame) -> DataFrame:
 
 
 def cvd_zscore(trades: DataFrame, period: int = 20, history: int = 120) -> DataFrame:
-    """z-score of the smoothed normalised volume delta, per distinct trade id."""
-    o = ordered_trades(_first_per_id(trades)).running({
+    """z-score of the smoothed normalised volume delta, per distinct trade id.
+
+    Like the other running features it also takes ``ordered_trades(...)``, so that several
+    features share one ordering.
+    """
+    known = trades if isinstance(trades, Ordered) else None
+    once = _first_per_id(_rows(trades))
+    o = order_rows(once, ["symbol"], ["ts_ms", "trade_id"], within=known).running({
         "__buys": ("sum", F.when(_is_buy(), F.col("qty")).otherwise(0.0)),
         "__sells": ("sum", F.when(_is_buy(), 0.0).otherwise(F.col("qty"))),
     })

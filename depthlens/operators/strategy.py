@@ -49,9 +49,11 @@ def feature_frames(
     def valid(df, value, ident="trade_id"):
         return df.filter("valid").select("symbol", "ts_ms", ident, value)
 
-    obi = book.smoothed_imbalance(books, tau_ms).select("symbol", "ts_ms", "seq", F.when(
+    # one ordering of the trades and one of the books serve all their features
+    t, b = flow.ordered_trades(trades), book.ordered_books(books)
+    obi = book.smoothed_imbalance(b, tau_ms).select("symbol", "ts_ms", "seq", F.when(
         F.col("valid"), F.col("obi")).alias("obi"))
-    micro = book.microprice_deviation(books).select("symbol", "ts_ms", "seq", F.when(
+    micro = book.microprice_deviation(b).select("symbol", "ts_ms", "seq", F.when(
         F.col("valid"), F.col("micro_dev")).alias("micro_dev"))
     base = books.select("symbol", "ts_ms", "seq", bk.mid().alias("mid"), bk.spread().alias("spread"))
     base = base.join(obi, ["symbol", "ts_ms", "seq"], "left").join(micro, ["symbol", "ts_ms", "seq"], "left")
@@ -62,10 +64,10 @@ def feature_frames(
         base = base.withColumn("detector_score", F.lit(None).cast("double"))
     bars = flow.time_bars(trades, bar_ms).withColumn("ts_ms", F.col("bar_ts") + bar_ms)
     out = latest_of(base, [
-        (valid(flow.cvd_zscore(trades), "cvd_z"), "trade_id", {"cvd_z": "cvd_z"}),
-        (valid(flow.price_velocity(trades, max_gap_ms=max_gap_ms), "velocity_z"), "trade_id", {"velocity_z": "velocity_z"}),
-        (valid(flow.vpin(trades, bucket), "vpin"), "trade_id", {"vpin": "vpin"}),
-        (valid(flow.return_volatility(trades), "volatility"), "trade_id", {"volatility": "volatility"}),
+        (valid(flow.cvd_zscore(t), "cvd_z"), "trade_id", {"cvd_z": "cvd_z"}),
+        (valid(flow.price_velocity(t, max_gap_ms=max_gap_ms), "velocity_z"), "trade_id", {"velocity_z": "velocity_z"}),
+        (valid(flow.vpin(t, bucket), "vpin"), "trade_id", {"vpin": "vpin"}),
+        (valid(flow.return_volatility(t), "volatility"), "trade_id", {"volatility": "volatility"}),
         (bars, "bar_ts", {"flow_delta": "delta", "flow_volume": "volume", "flow_pressure": "pressure"}),
     ])
     names = ("cvd_z", "obi", "velocity_z", "micro_dev", "vpin", "detector_score", "volatility")
