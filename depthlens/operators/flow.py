@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depthlens.functions.scalar import clamp, z_score
 from depthlens.operators.fold import greedy_starts
 from depthlens.operators.intervals import range_frame
-from depthlens.operators.ordered import RN, Ordered, order_rows
+from depthlens.operators.ordered import RN, Ordered, order_rows, rolling_sum
 
 
 def _is_buy() -> Column:
@@ -57,10 +57,9 @@ def cvd_zscore(trades: DataFrame, period: int = 20, history: int = 120) -> DataF
         "ema_cvd": (F.lit(1.0 - alpha), v * alpha),
         "ema_mean": (F.lit(0.95), F.when(F.col(RN) == 0, 0.0).otherwise(v * 0.05)),
     })
-    o = o.frame(history - 1, 0, lambda w: {
-        "__m1": F.avg("cvd_norm").over(w.rowsBetween(1 - history, 0)),
-        "__m2": F.avg(v * v).over(w.rowsBetween(1 - history, 0)),
-    })
+    n = F.least(F.col(RN) + 1, F.lit(history))
+    o = o.frame(history, 0, lambda w: {
+        "__m1": rolling_sum(v, history, w) / n, "__m2": rolling_sum(v * v, history, w) / n})
     m = F.col("ema_mean")
     variance = F.greatest(F.col("__m2") - 2.0 * m * F.col("__m1") + m * m, F.lit(0.0))
     std = F.when(F.col(RN) == 0, 0.0).otherwise(F.sqrt(variance))
@@ -104,6 +103,7 @@ def return_volatility(trades: DataFrame, period: int = 20, history: int = 300) -
     o = ordered_trades(trades).frame(1, 0, lambda w: {"__p": F.lag("price").over(w)})
     o = o.where(F.col("__p") > 0)
     o = o.col("ret", (F.col("price") - F.col("__p")) / F.col("__p"))
+    # centred moments per frame: differences of growing sums would cost digits here
     o = o.frame(history - 1, 0, lambda w: {
         "__s": F.coalesce(F.stddev_samp("ret").over(w.rowsBetween(1 - history, 0)), F.lit(0.0))})
     o = o.ema({"__ema": (F.col("__s"), 2.0 / (period + 1))})
@@ -132,10 +132,8 @@ def trade_rates(trades: DataFrame, windows_ms=(1000, 5000, 30_000)) -> DataFrame
 
 def recent_vwap(trades: DataFrame, n: int = 100, at_least: int = 10) -> DataFrame:
     """Volume-weighted price of the last ``n`` trades; NULL below ``at_least`` trades."""
-    o = ordered_trades(trades).frame(n - 1, 0, lambda w: {
-        "__pv": F.sum(_notional()).over(w.rowsBetween(1 - n, 0)),
-        "__v": F.sum("qty").over(w.rowsBetween(1 - n, 0)),
-    })
+    o = ordered_trades(trades).frame(n, 0, lambda w: {
+        "__pv": rolling_sum(_notional(), n, w), "__v": rolling_sum(F.col("qty"), n, w)})
     value = F.when((F.col(RN) + 1 >= at_least) & (F.col("__v") > 0), F.col("__pv") / F.col("__v"))
     return o.col("vwap", value).drop("__pv", "__v").result()
 

@@ -50,14 +50,30 @@ def range_frame(
             *[F.first(n, ignorenulls=True).alias(n) for n in aggs])
     bins = F.sequence(
         F.floor((F.col(ts) - after_ms) / width), F.floor((F.col(ts) + before_ms) / width))
-    w = (Window.partitionBy(*keys, "__bin").orderBy(ts).rangeBetween(-before_ms, after_ms))
-    final = {
-        "sum": F.sum, "count": F.sum, "min": F.min, "max": F.max,
-        "last": lambda c: F.last(c, ignorenulls=True),
-        "set": lambda c: F.array_distinct(F.flatten(F.collect_list(c))),
-    }
+    by_ts = Window.partitionBy(*keys, "__bin").orderBy(ts)
+    w = by_ts.rangeBetween(-before_ms, after_ms)
+    # growing frames are evaluated incrementally, sliding ones row by row
+    until = by_ts.rangeBetween(Window.unboundedPreceding, after_ms)
+    gone = by_ts.rangeBetween(Window.unboundedPreceding, -before_ms - 1)
+
+    def between(x):
+        return F.coalesce(F.sum(x).over(until), F.lit(0)) - F.coalesce(F.sum(x).over(gone), F.lit(0))
+
+    def framed_value(kind, name):
+        x = F.col(name)
+        if kind == "count":
+            return between(x)
+        if kind == "sum":
+            return F.when(between(x.isNotNull().cast("bigint")) > 0, between(x))
+        if kind == "last":
+            latest = F.last(F.when(x.isNotNull(), F.struct(F.col(ts).alias("t"), x.alias("x"))), True).over(until)
+            return F.when(latest["t"] >= F.col(ts) - before_ms, latest["x"])
+        if kind == "set":
+            return F.array_distinct(F.flatten(F.collect_list(x).over(w)))
+        return (F.min if kind == "min" else F.max)(x).over(w)
+
     framed = parts.withColumn("__bin", F.explode(bins)).withColumns(
-        {n: final[kind](F.col(n)).over(w) for n, (kind, _) in aggs.items()}
+        {n: framed_value(kind, n) for n, (kind, _) in aggs.items()}
     ).filter(F.col("__bin") == F.floor(F.col(ts) / width))
     counts = [n for n, (kind, _) in aggs.items() if kind == "count"]
     framed = framed.select(*keys, ts, *[
@@ -76,9 +92,17 @@ def asof(
 ) -> DataFrame:
     """Latest ``right`` values at or before each ``left`` row (right rows first on ties).
 
-    One union, one ordering, one carried "last value": no join on the bare key.
+    One union, one ordering, one carried "last value": no join on the bare key.  Arrays are not
+    carried through the ordering: there the id of the right row is, and the arrays are
+    joined by (keys, id), which must be unique.
     """
     keys = list(keys)
+    wide = [v for v in values if right.schema[v].dataType.typeName() == "array"]
+    if wide:
+        found = asof(left, right.withColumn("__rid", F.col(right_id)), keys, ts,
+                     ["__rid", *[v for v in values if v not in wide]], left_id, right_id)
+        arrays = right.select(*keys, F.col(right_id).alias("__rid"), *wide)
+        return found.join(arrays, [*keys, "__rid"], "left").drop("__rid")
     l = left.select(*keys, ts, F.lit(1).alias("__side"), F.col(left_id).alias("__tie"),
                     F.struct(*[c for c in left.columns if c not in [*keys, ts]]).alias("__left"))
     r = right.select(*keys, ts, F.lit(0).alias("__side"), F.col(right_id).alias("__tie"),

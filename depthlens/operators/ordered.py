@@ -258,6 +258,17 @@ def _plain(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.simpleString() in ("bigint", "int", "double", "string")
 
 
+def rolling_sum(x: Column, n: int, w: WindowSpec) -> Column:
+    """Sum of the last ``n`` rows as a difference of two growing sums.
+
+    Spark evaluates a sliding frame anew for every row, a growing one incrementally; inside
+    ``Ordered.frame`` the sums never reach beyond one block.  An empty frame gives 0.
+    """
+    start = Window.unboundedPreceding
+    upto = F.coalesce(F.sum(x).over(w.rowsBetween(start, 0)), F.lit(0))
+    return upto - F.coalesce(F.sum(x).over(w.rowsBetween(start, -n)), F.lit(0))
+
+
 # ---- aggregate vocabulary ------------------------------------------------------------
 def _aggregate(kind: str, x: Column) -> Column:
     if kind == "first":

@@ -49,7 +49,7 @@ def bracket_outcomes(plans: DataFrame, prices: DataFrame, max_hold_ms: int, tp1_
     observed price; TP1 closes ``tp1_share`` and moves the stop to the entry.  One change per
     price.  R counts the initial risk.  Orders still open after ``max_hold_ms`` are valued at the last price.
     """
-    bin_ms = max(max_hold_ms // 16, 1)
+    bin_ms = max(max_hold_ms // 48, 1)
     base = plans.withColumns({"submit_ms": F.col("ts_ms"), "start_ms": F.col("ts_ms"),
                               "end_ms": F.col("ts_ms") + max_hold_ms}).drop("ts_ms")
     one = _touch(base, prices, "stop", "tp1", bin_ms, "a")
@@ -96,7 +96,7 @@ def position_outcomes(positions: DataFrame, prices: DataFrame, max_hold_ms: int)
     """Outcome without partial exits: stop / TP2 at the observed price; TP1 arms a breakeven exit
     at entry plus (minus) twice the entry fee per unit.  Maker fee in, taker fee out.
     """
-    bin_ms = max(max_hold_ms // 16, 1)
+    bin_ms = max(max_hold_ms // 48, 1)
     s, e, size = _sign(F.col("side")), F.col("entry"), F.col("size")
     base = positions.withColumns({"submit_ms": F.col("ts_ms"), "start_ms": F.col("ts_ms"),
                                   "end_ms": F.col("ts_ms") + max_hold_ms}).drop("ts_ms")
