@@ -193,8 +193,12 @@ def quote_manipulation(books: DataFrame, min_notional: float = 30_000.0, max_age
     })
     drop = F.col("qty").isNull() | (F.col("qty") < F.col("max_qty") * 0.6)
     k = k.col("__drop", drop).running({"pulled": ("max", F.col("__drop"))})
-    k = k.frame(0, 1, lambda w: {"__until": F.lead("ts_ms").over(w)})
-    elapsed = (F.col("ts_ms") - F.col("first_ts")) / 1000.0
+    k = k.frame(1, 1, lambda w: {
+        "__until": F.lead("ts_ms").over(w), "__was": F.coalesce(F.lag("pulled").over(w), F.lit(False))})
+    # a level that was pulled before it left the book keeps the time it was last seen
+    counts = F.col("qty").isNotNull() | ~F.col("__was")
+    k = k.running({"__last": ("max", F.when(counts, F.col("ts_ms")))})
+    elapsed = (F.col("__last") - F.col("first_ts")) / 1000.0
     rate = F.coalesce((F.col("seen") - 1) / F.nullif(elapsed, F.lit(0.0)), F.lit(0.0))
     obs = k.df.withColumn("rate", rate)
     bid, pulled = F.col("side") == "bid", F.col("pulled")

@@ -123,15 +123,11 @@ class Ordered:
         if not self.blocked:
             w = Window.partitionBy(*self.keys).orderBy(RN)
             return self.with_df(self.df.withColumns(dict(exprs(w))))
-        if max(before, after) > self.block:
-            raise ValueError("frame is longer than a block; raise spark.depthlens.blockRows")
-        pos = F.col(RN) % self.block
-        own = self._blk
-        targets = F.array_compact(F.array(
-            own,
-            F.when(pos >= self.block - before, own + 1) if before else F.lit(None).cast("bigint"),
-            F.when((pos < after) & (own > 0), own - 1) if after else F.lit(None).cast("bigint"),
-        ))
+        own, rn = self._blk, F.col(RN)
+        # every block whose frames reach this row: its own and, near a border, neighbours
+        targets = F.sequence(
+            F.greatest(F.floor((rn - after) / self.block), F.lit(0)).cast("bigint"),
+            F.floor((rn + before) / self.block).cast("bigint"))
         copied = self.df.withColumn(_BLK, F.explode(targets))
         w = Window.partitionBy(*self.keys, _BLK).orderBy(RN)
         out = copied.withColumns(dict(exprs(w))).filter(F.col(_BLK) == own).drop(_BLK)
