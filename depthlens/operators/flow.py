@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depthlens.functions.scalar import clamp, z_score
 from depthlens.operators.fold import greedy_starts
-from depthlens.operators.intervals import range_frame
+from depthlens.operators.intervals import range_frame, range_table
 from depthlens.operators.ordered import RN, Ordered, order_rows, rolling_sum
 
 
@@ -124,10 +124,12 @@ def whale_tiers(trades: DataFrame, bounds=(50_000.0, 200_000.0, 1_000_000.0)) ->
 
 def trade_rates(trades: DataFrame, windows_ms=(1000, 5000, 30_000)) -> DataFrame:
     """Trades of the symbol in the last windows (strictly younger than each window)."""
-    out = trades
+    key = ["symbol", "ts_ms"]
+    rates = None
     for i, ms in enumerate(windows_ms):
-        out = range_frame(out, ["symbol"], "ts_ms", ms - 1, 0, {f"rate_{i}": ("count", F.lit(1))})
-    return out
+        one = range_table(trades, ["symbol"], "ts_ms", ms - 1, 0, {f"rate_{i}": ("count", F.lit(1))})
+        rates = one if rates is None else rates.join(one, key)
+    return trades.join(rates, key, "left")
 
 
 def recent_vwap(trades: DataFrame, n: int = 100, at_least: int = 10) -> DataFrame:

@@ -37,6 +37,21 @@ def range_frame(
     combine.  A window task then holds at most two frame lengths of distinct milliseconds
     of one key, however many rows fall into them.
     """
+    framed = range_table(rows, keys, ts, before_ms, after_ms, aggs, probes, order)
+    return (rows if probes is None else probes).join(framed, [*keys, ts], "left")
+
+
+def range_table(
+    rows: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    before_ms: int,
+    after_ms: int,
+    aggs: Mapping[str, tuple[str, Column]],
+    probes: DataFrame | None = None,
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """The values of ``range_frame`` per distinct (keys, ts), not yet joined to the rows."""
     keys = list(keys)
     width = max(before_ms + after_ms, 1)
     by = F.struct(*[F.col(c) for c in (order or [ts])])
@@ -76,9 +91,8 @@ def range_frame(
         {n: framed_value(kind, n) for n, (kind, _) in aggs.items()}
     ).filter(F.col("__bin") == F.floor(F.col(ts) / width))
     counts = [n for n, (kind, _) in aggs.items() if kind == "count"]
-    framed = framed.select(*keys, ts, *[
+    return framed.select(*keys, ts, *[
         F.coalesce(n, F.lit(0)).alias(n) if n in counts else F.col(n) for n in aggs])
-    return (rows if probes is None else probes).join(framed, [*keys, ts], "left")
 
 
 def asof(

@@ -12,7 +12,7 @@ from depthlens.functions import books as bk
 from depthlens.functions.scalar import clamp, decayed, round_half_up
 from depthlens.operators.book import ordered_books
 from depthlens.operators.fold import greedy_starts
-from depthlens.operators.intervals import asof, first_touch, range_frame
+from depthlens.operators.intervals import asof, first_touch, range_frame, range_table
 from depthlens.operators.ordered import RN, order_rows, top_k
 
 
@@ -228,7 +228,8 @@ def tape_spikes(trades: DataFrame, short_ms: int = 1000, long_ms: int = 5000, fa
     """More trades in the short window than ``factor`` times its share of the long one."""
     t = range_frame(trades, ["symbol"], "ts_ms", short_ms - 1, 0, {
         "__n": ("count", F.lit(1)), "__b": ("sum", (F.col("side") == "buy").cast("bigint"))})
-    t = range_frame(t, ["symbol"], "ts_ms", long_ms - 1, 0, {"__l": ("count", F.lit(1))})
+    long = range_table(trades, ["symbol"], "ts_ms", long_ms - 1, 0, {"__l": ("count", F.lit(1))})
+    t = t.join(long, ["symbol", "ts_ms"])
     usual = F.col("__l") * (short_ms / long_ms)
     hit = t.filter((F.col("__n") > usual * factor) & (F.col("__n") >= at_least))
     return _signal(hit, "TAPE_SPIKE", _bull(F.col("__b") * 2 >= F.col("__n")), 65, F.col("price"))
