@@ -52,6 +52,11 @@ def robust_std(xs: Column) -> Column:
     return F.when(F.size(xs) >= 2, array_mad(xs) * 1.4826).otherwise(0.0)
 
 
+def money_sum(x: Column) -> Column:
+    """Sum of amounts to ten decimals that does not depend on the order of the rows."""
+    return F.sum(x.cast("decimal(28,10)")).cast("double")
+
+
 # ---- price and quantity grids -----------------------------------------------------------
 def round_half_up(x: Column) -> Column:
     """Nearest integer, halves toward plus infinity."""

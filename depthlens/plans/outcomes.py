@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthlens.functions.scalar import MAKER_FEE, TAKER_FEE, r_multiple
+from depthlens.functions.scalar import MAKER_FEE, TAKER_FEE, money_sum, r_multiple
 from depthlens.operators.intervals import asof, first_touch, range_frame
 from depthlens.operators.ordered import top_k
 
@@ -131,8 +131,8 @@ def account_equity(outcomes: DataFrame, start_equity: float) -> DataFrame:
     closed = F.col("closed")
     return outcomes.groupBy("symbol").agg(
         F.count_if(closed).alias("closed_orders"), F.count_if(~closed).alias("open_orders"),
-        F.coalesce(F.sum(F.when(closed, F.col("pnl"))), F.lit(0.0)).alias("closed_pnl"),
-        F.coalesce(F.sum(F.when(~closed, F.col("pnl"))), F.lit(0.0)).alias("open_pnl"),
+        F.coalesce(money_sum(F.when(closed, F.col("pnl"))), F.lit(0.0)).alias("closed_pnl"),
+        F.coalesce(money_sum(F.when(~closed, F.col("pnl"))), F.lit(0.0)).alias("open_pnl"),
     ).withColumn("equity", F.lit(float(start_equity)) + F.col("closed_pnl") + F.col("open_pnl"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depthlens.functions.scalar import money_sum
 from depthlens.operators.ordered import RN, order_rows
 
 
@@ -48,8 +49,8 @@ def trade_metrics(trades: DataFrame, by: list[str], risk_free: float = 0.0, orig
     win, loss = p > 0, p < 0
     df = trades.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses"),
-        F.coalesce(F.sum(F.when(win, p)), F.lit(0.0)).alias("gross_profit"),
-        F.coalesce(F.sum(F.when(~win, -p)), F.lit(0.0)).alias("gross_loss"),
+        F.coalesce(money_sum(F.when(win, p)), F.lit(0.0)).alias("gross_profit"),
+        F.coalesce(money_sum(F.when(~win, -p)), F.lit(0.0)).alias("gross_loss"),
         F.avg("r_multiple").alias("avg_r"), F.sum("r_multiple").alias("net_r"), F.avg("pnl").alias("mean_pnl"),
         F.stddev_samp("pnl").alias("std_pnl"), (F.max("exit_ms") - F.min("entry_ms")).alias("span_ms"),
         F.avg(F.col("exit_ms") - F.col("entry_ms")).alias("avg_hold_ms"))
@@ -102,10 +103,10 @@ def session_rollup(positions: DataFrame, sessions: DataFrame) -> DataFrame:
     p, closed = F.col("pnl"), F.col("status") != "open"
     agg = positions.groupBy("session_id").agg(
         F.count_if(closed).alias("trades"), F.count_if(closed & (p > 0)).alias("wins"),
-        F.coalesce(F.sum(F.when(closed & (p > 0), p)), F.lit(0.0)).alias("__gain"),
-        F.abs(F.coalesce(F.sum(F.when(closed & (p <= 0), p)), F.lit(0.0))).alias("__loss"),
+        F.coalesce(money_sum(F.when(closed & (p > 0), p)), F.lit(0.0)).alias("__gain"),
+        F.abs(F.coalesce(money_sum(F.when(closed & (p <= 0), p)), F.lit(0.0))).alias("__loss"),
         F.avg(F.when(closed, p)).alias("__mean"), F.stddev_samp(F.when(closed, p)).alias("__std"),
-        F.sum(p).alias("__all"), F.sum("fee").alias("total_fees"))
+        money_sum(p).alias("__all"), money_sum(F.col("fee")).alias("total_fees"))
     j = sessions.join(agg, "session_id", "left").na.fill(0.0).na.fill(0)
     equity = F.col("start_equity") + F.col("__all")
     peak = F.greatest(F.col("start_equity"), equity)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depthlens.functions.scalar import money_sum
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
@@ -154,6 +156,6 @@ def risk_check(probes: DataFrame, equity: float = 10_000.0, max_open: int = 5, m
 
 def portfolio_heat(positions: DataFrame, equity: float) -> DataFrame:
     """Open risk over equity per account (account, entry, stop, size)."""
-    risk = F.sum(F.abs(F.col("entry") - F.col("stop")) * F.col("size"))
+    risk = money_sum(F.abs(F.col("entry") - F.col("stop")) * F.col("size"))
     return positions.groupBy("account").agg(
         (F.when(F.lit(equity) == 0, 0.0).otherwise(risk / F.nullif(F.lit(float(equity)), F.lit(0.0)))).alias("heat"))

@@ -134,8 +134,8 @@ def _(spark, d):
     return rounded(bracket(spark, d), "symbol plan_id status exit_ms closed", "exit_price fees pnl r_multiple")
 
 
-@query("o03_account_equity", f"""WITH {OUTCOMES} SELECT symbol, count(*) FILTER (closed) AS closed_orders, count(*) FILTER (NOT closed) AS open_orders, round(coalesce(sum(pnl) FILTER (closed),0),6) AS closed_pnl,
- round(coalesce(sum(pnl) FILTER (NOT closed),0),6) AS open_pnl, round(10000+coalesce(sum(pnl) FILTER (closed),0)+coalesce(sum(pnl) FILTER (NOT closed),0),6) AS equity FROM outc GROUP BY symbol""")
+@query("o03_account_equity", f"""WITH {OUTCOMES} SELECT symbol, count(*) FILTER (closed) AS closed_orders, count(*) FILTER (NOT closed) AS open_orders, round(coalesce((sum(pnl::DECIMAL(28,10)) FILTER (closed))::DOUBLE,0),6) AS closed_pnl,
+ round(coalesce((sum(pnl::DECIMAL(28,10)) FILTER (NOT closed))::DOUBLE,0),6) AS open_pnl, round(10000+coalesce((sum(pnl::DECIMAL(28,10)) FILTER (closed))::DOUBLE,0)+coalesce((sum(pnl::DECIMAL(28,10)) FILTER (NOT closed))::DOUBLE,0),6) AS equity FROM outc GROUP BY symbol""")
 def _(spark, d):
     return rounded(outcomes.account_equity(bracket(spark, d), 10_000.0), "symbol closed_orders open_orders", "closed_pnl open_pnl equity")
 
@@ -143,8 +143,8 @@ def _(spark, d):
 METRICS = "n wins losses gross_profit gross_loss win_rate avg_r net_r expectancy profit_factor sharpe avg_hold_ms wilson_low wilson_high"
 
 
-@query("o06_trade_metrics", f"""WITH {OUTCOMES}, cl AS (SELECT * FROM outc WHERE closed), g AS (SELECT symbol, count(*) AS n, count(*) FILTER (pnl>0) AS wins, count(*) FILTER (pnl<0) AS losses, coalesce(sum(pnl) FILTER (pnl>0),0) AS gp,
-  coalesce(sum(-pnl) FILTER (pnl<=0),0) AS gl, avg(r) AS ar, sum(r) AS nr, avg(pnl) AS mp, stddev_samp(pnl) AS sd, max(exit_ms)-min(ts_ms) AS span, avg(exit_ms-ts_ms) AS hold FROM cl GROUP BY symbol),
+@query("o06_trade_metrics", f"""WITH {OUTCOMES}, cl AS (SELECT * FROM outc WHERE closed), g AS (SELECT symbol, count(*) AS n, count(*) FILTER (pnl>0) AS wins, count(*) FILTER (pnl<0) AS losses, coalesce((sum(pnl::DECIMAL(28,10)) FILTER (pnl>0))::DOUBLE,0) AS gp,
+  coalesce((sum((-pnl)::DECIMAL(28,10)) FILTER (pnl<=0))::DOUBLE,0) AS gl, avg(r) AS ar, sum(r) AS nr, avg(pnl) AS mp, stddev_samp(pnl) AS sd, max(exit_ms)-min(ts_ms) AS span, avg(exit_ms-ts_ms) AS hold FROM cl GROUP BY symbol),
  h AS (SELECT *, wins/n AS p, n/span*31557600000.0::DOUBLE AS py, 1+3.8416::DOUBLE/n AS sc FROM g)
 SELECT symbol, n, wins, losses, round(gp,6) AS gross_profit, round(gl,6) AS gross_loss, round(p,6) AS win_rate, round(ar,6) AS avg_r, round(nr,6) AS net_r,
  round(p*(gp/wins)-losses/n*(gl/losses),6) AS expectancy, round(gp/gl,6) AS profit_factor, round(mp/sd*sqrt(py),6) AS sharpe, round(hold,6) AS avg_hold_ms,
@@ -199,8 +199,8 @@ def _(spark, d):
                    "avg_mae avg_mfe mae_mfe_ratio avg_hold_ms avg_r")
 
 
-@query("o11_session_rollup", f"""WITH {OUTCOMES}, g AS (SELECT symbol, count(*) FILTER (closed) AS n, count(*) FILTER (closed AND pnl>0) AS w, sum(pnl) FILTER (closed AND pnl>0) AS gain, abs(sum(pnl) FILTER (closed AND pnl<=0)) AS loss,
-  avg(pnl) FILTER (closed) AS m, stddev_samp(pnl) FILTER (closed) AS sd, sum(pnl) AS al, sum(fees) AS tf FROM outc GROUP BY symbol)
+@query("o11_session_rollup", f"""WITH {OUTCOMES}, g AS (SELECT symbol, count(*) FILTER (closed) AS n, count(*) FILTER (closed AND pnl>0) AS w, (sum(pnl::DECIMAL(28,10)) FILTER (closed AND pnl>0))::DOUBLE AS gain, abs((sum(pnl::DECIMAL(28,10)) FILTER (closed AND pnl<=0))::DOUBLE) AS loss,
+  avg(pnl) FILTER (closed) AS m, stddev_samp(pnl) FILTER (closed) AS sd, sum(pnl::DECIMAL(28,10))::DOUBLE AS al, sum(fees::DECIMAL(28,10))::DOUBLE AS tf FROM outc GROUP BY symbol)
 SELECT symbol AS session_id, n AS trades, w AS wins, round(w/n,6) AS win_rate, round(gain/loss,6) AS profit_factor, round(m/sd*sqrt(252.0::DOUBLE),6) AS sharpe, round(50000+al,6) AS current_equity, round(greatest(50000,50000+al),6) AS peak_equity,
  round((greatest(50000,50000+al)-(50000+al))/greatest(50000,50000+al),6) AS max_drawdown, round(tf,6) AS total_fees FROM g""")
 def _(spark, d):
@@ -314,7 +314,7 @@ def _(spark, d):
     return rounded(o.select("symbol", "ts", "stop", "size", "t.*"), "symbol ts", "stop size tp1 tp2")
 
 
-@query("r11_portfolio_heat", f"WITH {OUTCOMES} SELECT symbol AS account, round(sum(abs(entry-stop)*qty)/100000,6) AS heat FROM outc WHERE NOT closed GROUP BY symbol")
+@query("r11_portfolio_heat", f"WITH {OUTCOMES} SELECT symbol AS account, round(sum((abs(entry-stop)*qty)::DECIMAL(28,10))::DOUBLE/100000,6) AS heat FROM outc WHERE NOT closed GROUP BY symbol")
 def _(spark, d):
     o = bracket(spark, d).filter("not closed").select(F.col("symbol").alias("account"), "entry", "stop", F.col("qty").alias("size"))
     return rounded(sizing.portfolio_heat(o, 100_000.0), "account", "heat")
