@@ -310,9 +310,8 @@ def iceberg_hits(trades: DataFrame, books: DataFrame, min_notional: float = 50_0
                  timeout_ms: int = 5000, ratio: float = 2.5) -> DataFrame:
     """Large trades at a visible level, counted per level until ``timeout_ms`` without a hit.
 
-    state: FORMING, CONFIRMED (third hit on with mean hit size above ``ratio`` times the
-    displayed quantity), and for confirmed levels CONSUMED / PULLED from the next hit's view
-    of the book is left to ``iceberg_states``.
+    state: FORMING, then CONFIRMED from the first hit on that is at least the third and whose mean
+    size exceeds ``ratio`` times the displayed quantity.  ``iceberg_states`` tells how a level ends.
     """
     big = trades.filter(F.col("price") * F.col("qty") >= min_notional)
     j = asof(big, books, ["symbol"], "ts_ms", ["bids", "asks"], "trade_id", "seq")
