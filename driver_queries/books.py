@@ -7,7 +7,7 @@ from depthlens.operators import book, detectors, flow
 from depthlens.operators import quality
 from depthlens.operators.ordered import RN
 from depthlens.sources import driver_tables as src
-from driver_queries.common import BOOKS, DAY, HOUR, LIQS, TRADES, recursive, rounded, rsql
+from driver_queries.common import BOOKS, DAY, HOUR, LIQS, TRADES, recursive, rounded
 
 QUERIES, SQL = {}, {}
 

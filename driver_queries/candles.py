@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from depthlens.operators import candles as cn
 from depthlens.operators import quality
 from depthlens.sources import driver_tables as src
-from driver_queries.common import HOUR, ORDERED, TRADES, candles, recursive, rounded, rsql
+from driver_queries.common import HOUR, ORDERED, TRADES, candles, recursive, rounded
 
 QUERIES, SQL = {}, {}
 

@@ -2,8 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depthlens.operators import book, candle_detectors, candles as cn, signals, strategy
-from depthlens.operators.intervals import asof
+from depthlens.operators import candle_detectors, candles as cn, signals, strategy
 from depthlens.plans import backtest, outcomes, performance, sizing, trade_plans
 from depthlens.sources import driver_tables as src
 from driver_queries.books import WALLS

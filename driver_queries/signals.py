@@ -6,7 +6,7 @@ from depthlens.operators import book, detectors, flow, signals, strategy
 from depthlens.operators.ordered import RN
 from depthlens.sources import driver_tables as src
 from driver_queries.books import SUMS, WALL_MULT, WALLS
-from driver_queries.common import BOOKS, DAY, HOUR, LIQS, ORDERED, TRADES, recursive, rounded, rsql
+from driver_queries.common import BOOKS, DAY, HOUR, LIQS, ORDERED, TRADES, rounded
 
 QUERIES, SQL = {}, {}
 BAR = 6 * HOUR
