@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from depthlens.llm.bpe_trie import encode_digests
+from depthlens.llm.secret_scan import secret_digests
+from depthlens.llm.substring_dedup import removal_digests
 from depthlens.llm.text import documents
 from depthlens.llm.token_counts import token_counts
 
@@ -14,14 +16,26 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secret_scan(spark, sf_dir):
+    """Secrets in every document: counts and digest of the base kinds, and all spans."""
+    return secret_digests(documents(spark, sf_dir))
+
+
 def op7_bpe_roundtrip(spark, sf_dir):
     """Ids and decoded text of every document under the word vocabulary of 49k, as digests."""
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    """Words of every document without windows of 50 words that start in an earlier document too."""
+    return removal_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_secret_scan": op5_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
