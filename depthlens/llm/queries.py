@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from depthlens.llm.bpe_trie import encode_digests
+from depthlens.llm.decontamination import contamination
+from depthlens.llm.perplexity import quality_verdicts
 from depthlens.llm.secret_scan import secret_digests
 from depthlens.llm.substring_dedup import removal_digests
 from depthlens.llm.text import documents
@@ -31,11 +33,23 @@ def op8_substring_dedup(spark, sf_dir):
     return removal_digests(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark, sf_dir):
+    """Benchmark windows of 10 words in every document."""
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_quality_rules(spark, sf_dir):
+    """Base measures of every document and the verdict of its language's perplexity band."""
+    return quality_verdicts(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {}
