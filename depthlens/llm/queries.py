@@ -6,11 +6,28 @@ import public_tokenizers
 
 from depthlens.llm.bpe_trie import encode_digests
 from depthlens.llm.decontamination import contamination
+from depthlens.llm.line_dedup import LINE_DEDUP_SQL, line_digests
+from depthlens.llm.near_dedup import near_duplicates
 from depthlens.llm.perplexity import quality_verdicts
 from depthlens.llm.secret_scan import secret_digests
 from depthlens.llm.substring_dedup import removal_digests
 from depthlens.llm.text import documents
 from depthlens.llm.token_counts import token_counts
+from depthlens.llm.toxicity import toxicity
+
+
+#: The links of the chain over the given labels, in order; the last one decides.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def op1_toxicity(spark, sf_dir):
+    """Probabilities of the chain's categories for every document, and whether it is rejected as toxic."""
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES)
+
+
+def op2_near_dedup(spark, sf_dir):
+    """Components of documents whose 5-word shingle sets have a similarity of 0.85 or more."""
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op3_token_counts(spark, sf_dir):
@@ -18,6 +35,11 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    """Repeated runs of lines in every document: how much goes, and the digest of what is left."""
+    return line_digests(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark, sf_dir):
     """Secrets in every document: counts and digest of the base kinds, and all spans."""
     return secret_digests(documents(spark, sf_dir))
@@ -44,7 +66,10 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_substring_dedup": op8_substring_dedup,
@@ -52,4 +77,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
