@@ -6,6 +6,7 @@ import public_tokenizers
 
 from depthlens.llm.bpe_trie import encode_digests
 from depthlens.llm.decontamination import contamination
+from depthlens.llm.language_crf import languages
 from depthlens.llm.line_dedup import LINE_DEDUP_SQL, line_digests
 from depthlens.llm.near_dedup import near_duplicates
 from depthlens.llm.perplexity import quality_verdicts
@@ -45,6 +46,11 @@ def op5_secret_scan(spark, sf_dir):
     return secret_digests(documents(spark, sf_dir))
 
 
+def op6_language_id(spark, sf_dir):
+    """Language of every document by a model of the labelled documents outside the held-out fifth."""
+    return languages(documents(spark, sf_dir))
+
+
 def op7_bpe_roundtrip(spark, sf_dir):
     """Ids and decoded text of every document under the word vocabulary of 49k, as digests."""
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
