@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``width`` words, counted in Spark.
 
-Every window of every text is hashed; the hashes are dealt by value over the shuffle partitions as packed arrays (nine
-or ten bytes a window), sorted there, and a window whose hash also occurs in a document with a smaller id is reported
+Every window of every text is hashed; the hashes are dealt by value over the shuffle partitions as packed arrays (about
+ten bytes a window), sorted there, and a window whose hash also occurs in a document with a smaller id is reported
 back to its document.  Reported windows merge into maximal intervals, which are cut from the text.
 
 Copies inside one packed piece are settled before the shuffle: only the copy with the smallest document id travels, so
@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from depthlens.llm.text import hash_words, made_once, map_batches, mix, texts, word_hashes
@@ -52,9 +53,9 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * parts  # several to a partition, so that partitions come out even
+    buckets = _even_keys(spark, parts)
     keyed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    keyed = texts(keyed, F.xxhash64("text").alias("text_hash"))
+    keyed = texts(keyed, F.hash("text").alias("text_hash"))
 
     def pack(batches):
         memo = made_once("words", word_hashes)
@@ -74,14 +75,24 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
         if held:
             yield from _packed(held, buckets)
 
-    packed = keyed.mapInArrow(pack, "bucket int, ids binary, tags binary, hashes binary, low binary, high binary, wide binary, local binary")
-    return packed.repartition(parts, "bucket").mapInArrow(_matched, "doc_id long, text_hash long, starts binary")
+    packed = keyed.mapInArrow(pack, "bucket int, docs binary, hashes binary, low binary, high binary, wide binary, local binary")
+    return packed.repartition(parts, "bucket").mapInArrow(_matched, "doc_id long, text_hash int, starts binary")
 
 
-def _packed(held, buckets: int):
+def _even_keys(spark, parts: int) -> np.ndarray:
+    """One key for each of ``parts`` shuffle partitions, so that buckets come out evenly; any keys give right results."""
+    slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = spark.range(0, 24 * parts).groupBy(slot.alias("slot")).agg(F.min("id").alias("key")).collect()
+    keys = np.arange(parts, dtype=np.int32) + 24 * parts
+    for r in found:
+        keys[r.slot] = r.key
+    return keys
+
+
+def _packed(held, buckets: np.ndarray):
     """Rows to deal: one per bucket with the smallest-id copy of each hash, and one with what is settled."""
     ids = np.array([d for d, _, _ in held], np.int64)
-    tags = np.array([t for _, t, _ in held], np.int64)
+    tags = np.array([t for _, t, _ in held], np.int32)
     lengths = np.array([len(h) for _, _, h in held])
     row = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
     hashes = np.concatenate([h for _, _, h in held])
@@ -97,9 +108,9 @@ def _packed(held, buckets: int):
     stays = np.ones(len(hashes), bool)
     stays[later] = False
     if len(later):
-        yield _record(int(hashes[0] % np.uint64(buckets)), ids, tags, local=_runs(row[later], start[later]))
+        yield _record(int(buckets[hashes[0] % np.uint64(len(buckets))]), ids, tags, local=_runs(row[later], start[later]))
     at = np.flatnonzero(stays)
-    bucket = (hashes[at] % np.uint64(buckets)).astype(np.int32)
+    bucket = (hashes[at] % np.uint64(len(buckets))).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
     at, bucket = at[by], bucket[by]
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
@@ -113,24 +124,41 @@ def _packed(held, buckets: int):
         step16 = np.where(wide, 0xFFFF, step).astype(np.uint16)
         wide |= step16 == 0xFFFF
         yield _record(
-            int(bucket[lo]), ids, tags, lengths=ends, hashes=hashes[a].tobytes(), low=(step16 & 0xFF).astype(np.uint8).tobytes(),
+            int(buckets[bucket[lo]]), ids, tags, lengths=ends, hashes=hashes[a].tobytes(), low=(step16 & 0xFF).astype(np.uint8).tobytes(),
             high=(step16 >> 8).astype(np.uint8).tobytes(), wide=step[wide].astype(np.int64).tobytes(), used=row[a],
         )
 
 
 def _record(bucket, ids, tags, lengths=None, hashes=b"", low=b"", high=b"", wide=b"", used=None, local=b""):
     if used is None:
-        head, tag = ids.tobytes(), tags.tobytes()
-    else:  # only the documents that have a window here
+        docs = _pack_docs(ids, tags)
+    else:  # only the documents that have a window here, with their places in the piece
         rows = np.unique(used)
-        head = np.column_stack([ids[rows], lengths[rows] - np.diff(lengths, prepend=0)[rows], lengths[rows]]).tobytes()
-        tag = tags[rows].tobytes()
-    names = ("bucket", "ids", "tags", "hashes", "low", "high", "wide", "local")
-    types = (pa.int32(), *[pa.binary()] * 7)
-    values = (bucket, head, tag, hashes, low, high, wide, local)
+        ends = lengths[rows]
+        docs = _pack_docs(ids[rows], tags[rows], ends - np.diff(lengths, prepend=0)[rows], ends)
+    names = ("bucket", "docs", "hashes", "low", "high", "wide", "local")
+    types = (pa.int32(), *[pa.binary()] * 6)
+    values = (bucket, docs, hashes, low, high, wide, local)
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=list(names))
 
 
+def _pack_docs(ids, tags, first=None, end=None) -> bytes:
+    """Ids, tags and places column by column; ascending columns as differences, which compress well."""
+    zero = np.zeros(len(ids), np.int32)
+    columns = [np.diff(ids, prepend=0), tags, zero if first is None else np.diff(first, prepend=0).astype(np.int32)]
+    columns.append(zero if end is None else (end - first).astype(np.int32))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(c.tobytes() for c in columns))
+
+
+def _unpack_docs(packed: bytes):
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = len(raw) // 20
+    ids = np.cumsum(np.frombuffer(raw, np.int64, n))
+    tags, first, size = np.frombuffer(raw, np.int32, 3 * n, 8 * n).reshape(3, n)
+    first = np.cumsum(first, dtype=np.int64)
+    return ids, tags, first, first + size
+
+
 def _runs(row: np.ndarray, start: np.ndarray) -> bytes:
     """(row, first start, count) of runs of consecutive starts, as 32-bit values."""
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
@@ -143,7 +171,7 @@ def _settled(r: dict):
     runs = np.frombuffer(r["local"], np.int32).reshape(-1, 3)
     n = runs[:, 2]
     starts = np.repeat(runs[:, 1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    ids, tags = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["tags"], np.int64)
+    ids, tags, _, _ = _unpack_docs(r["docs"])
     return _by_document(ids, tags, np.repeat(runs[:, 0], n), starts.astype(np.int32))
 
 
@@ -155,17 +183,17 @@ def _matched(batches):
             if r["local"]:
                 yield from _settled(r)
                 continue
-            head = np.frombuffer(r["ids"], np.int64).reshape(-1, 3)  # id, first and end place in the piece
+            of, tag, first, end = _unpack_docs(r["docs"])
             step = np.frombuffer(r["low"], np.uint8).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 8
             step[step == 0xFFFF] = np.frombuffer(r["wide"], np.int64)
             place = np.cumsum(step)
-            row = np.searchsorted(head[:, 2], place, side="right")
+            row = np.searchsorted(end, place, side="right")
             rows.append((row + n).astype(np.int32))
-            starts.append((place - head[row, 1]).astype(np.int32))
+            starts.append((place - first[row]).astype(np.int32))
             hashes.append(np.frombuffer(r["hashes"], np.uint64))
-            ids.append(head[:, 0])
-            tags.append(np.frombuffer(r["tags"], np.int64))
-            n += len(head)
+            ids.append(of)
+            tags.append(tag)
+            n += len(of)
     if not n:
         return
     ids, tags, row, start = map(np.concatenate, (ids, tags, rows, starts))
@@ -213,18 +241,16 @@ def removal_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
         }
 
     found = repeated_windows(docs, width).groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("starts"))
-    return map_batches(found, merge, "doc_id long, text_hash long, intervals binary")
+    return map_batches(found, merge, "doc_id long, text_hash int, intervals binary")
 
 
 def _with_intervals(docs: DataFrame, width: int) -> DataFrame:
     """Texts travel compressed to the intervals of their row; rows with a null id or text have none."""
-    import zstandard
-
     def squeeze(c):
         z = zstandard.ZstdCompressor(level=1)
         return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "body": [z.compress(t) if t else None for t in c["text"]]}
 
-    bodies = map_batches(texts(docs, F.xxhash64("text").alias("text_hash")), squeeze, "doc_id long, text_hash long, body binary")
+    bodies = map_batches(texts(docs, F.hash("text").alias("text_hash")), squeeze, "doc_id long, text_hash int, body binary")
     return bodies.join(removal_intervals(docs, width), ["doc_id", "text_hash"], "left")
 
 
@@ -257,8 +283,6 @@ def removal_digests(docs: DataFrame, width: int = 50) -> DataFrame:
 
 
 def _cut(show):
-    import zstandard
-
     def run(c):
         z = zstandard.ZstdDecompressor()
         out = {"doc_id": c["doc_id"], "n_words": [], "n_removed": [], "kept": []}
