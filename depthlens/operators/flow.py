@@ -278,23 +278,26 @@ def signal_bars(
 
 
 # ---- VPIN -------------------------------------------------------------------------------------
-def volume_buckets(trades: DataFrame, bucket: int) -> DataFrame:
-    """Equal-volume buckets; a trade is split where it crosses a bucket edge (whole lots)."""
-    lots = F.col("qty").cast("bigint")
-    o = ordered_trades(trades).running({"__end": ("sum", lots)})
-    lo, hi, k = F.col("__end") - lots, F.col("__end"), F.col("bucket")
-    parts = o.df.filter(lots > 0).withColumn(
-        "bucket", F.explode(F.expr(
-            f"sequence((__end - cast(qty as bigint)) div {bucket}, (__end - 1) div {bucket})")))
-    part = F.least(hi, (k + 1) * bucket) - F.greatest(lo, k * bucket)
+def volume_buckets(trades: DataFrame, bucket: float) -> DataFrame:
+    """Equal-volume buckets; a trade of any size is split where it crosses a bucket edge.
+
+    Edges are multiples of ``bucket`` on the running volume; a bucket is complete once the running volume has reached
+    its end.  Trades without a positive size fill nothing.
+    """
+    qty, size = F.col("qty").cast("double"), F.lit(float(bucket))
+    o = ordered_trades(trades.filter("qty > 0")).running({"__end": ("sum", qty)})
+    lo, hi, k = F.col("__end") - qty, F.col("__end"), F.col("bucket").cast("double")
+    first = F.floor(lo / size)
+    parts = o.df.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, F.ceil(hi / size) - 1))))
+    part = F.greatest(F.lit(0.0), F.least(hi, (k + 1) * size) - F.greatest(lo, k * size))
     return parts.groupBy("symbol", "bucket").agg(
-        F.sum(F.when(_is_buy(), part).otherwise(0)).alias("buys"),
-        F.sum(F.when(_is_buy(), 0).otherwise(part)).alias("sells"),
-        F.max("ts_ms").alias("ts_ms"), F.max("trade_id").alias("trade_id"),
-    ).withColumn("complete", F.col("buys") + F.col("sells") == bucket)
+        F.sum(F.when(_is_buy(), part).otherwise(0.0)).alias("buys"),
+        F.sum(F.when(_is_buy(), 0.0).otherwise(part)).alias("sells"),
+        F.max("ts_ms").alias("ts_ms"), F.max("trade_id").alias("trade_id"), F.max("__end").alias("__reached"),
+    ).withColumn("complete", F.col("__reached") >= (k + 1) * size).drop("__reached")
 
 
-def vpin(trades: DataFrame, bucket: int = 100_000, keep: int = 50, warm: int = 20) -> DataFrame:
+def vpin(trades: DataFrame, bucket: float = 100_000, keep: int = 50, warm: int = 20) -> DataFrame:
     """Mean order imbalance of the last ``keep`` full volume buckets, at each bucket close."""
     full = volume_buckets(trades, bucket).filter("complete").withColumn(
         "imbalance", F.abs(F.col("buys") - F.col("sells")) / F.lit(float(bucket)))

@@ -242,16 +242,9 @@ def order_rows(
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"):
-    """First ``k`` rows per key.  Hash parts of a key are cut to k rows before they meet."""
-    part = df.withColumn("__part", F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys and _plain(df, c)]), F.lit(256)))
-    inner = Window.partitionBy(*keys, "__part").orderBy(*order)
-    outer = Window.partitionBy(*keys).orderBy(*order)
-    few = part.withColumn("__r", F.row_number().over(inner)).filter(F.col("__r") <= k)
-    return few.withColumn(rank, F.row_number().over(outer)).filter(F.col(rank) <= k).drop("__part", "__r")
-
-
-def _plain(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.simpleString() in ("bigint", "int", "double", "string")
+    """First ``k`` rows per key.  Spark cuts each task's rows of a key to ``k`` before they meet."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
 def rolling_sum(x: Column, n: int, w: WindowSpec) -> Column:

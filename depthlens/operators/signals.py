@@ -390,9 +390,12 @@ def admit(signals: DataFrame, cooldown_ms: int = 8000, min_conf: float = 60.0, m
 
     Below ``min_conf`` the confidence becomes 0; it shrinks by 0.7 in toxic flow (column
     ``vpin`` above 0.7, if present) and grows by 1.3 (at most 98) when at least two admitted
-    signals of the direction lie in the last 30 s and 30 rows.
+    signals of the direction lie in the last 30 s and 30 rows.  Of signals that differ in confidence only, the most
+    confident counts.
     """
-    one = signals.dropDuplicates(["symbol", *ORDER])
+    rest = [c for c in signals.columns if c not in ("symbol", "conf", *ORDER)]
+    one = signals.groupBy("symbol", *ORDER).agg(F.max(F.struct("conf", *rest)).alias("__top"))
+    one = one.select("symbol", *ORDER, "__top.*").select(signals.columns)
     all_rows = order_rows(one, ["symbol"], ORDER)
     o = order_rows(one, ["symbol", "type"], ["ts_ms", "direction", "price"], within=all_rows)
     kept = greedy_starts(o, "ts_ms", cooldown_ms, "__in").df.filter("__in").drop("__in", RN)

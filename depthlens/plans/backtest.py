@@ -108,9 +108,19 @@ def _grid_metrics(trades: DataFrame, by: list[str], equity: float) -> DataFrame:
 
 def calibrate(candles: DataFrame, ranges: Mapping[str, tuple[float, float]], rule: Callable = band_rule,
               steps: int = 5, hold: int = 5, equity: float = 10_000.0) -> DataFrame:
-    """Back-test the rule for every parameter set: one row per symbol and set."""
+    """Back-test the rule for every parameter set: one row per symbol and set, zeros where it never traded."""
     trades = _grid_trades(rule_inputs(candles, hold), ranges, rule, steps)
-    return _grid_metrics(trades, ["symbol", *ranges], equity)
+    every = grid(candles.select("symbol").distinct(), ranges, steps)
+    return _completed(every, _grid_metrics(trades, ["symbol", *ranges], equity), ["symbol", *ranges])
+
+
+def _completed(every: DataFrame, metrics: DataFrame, by: list[str]) -> DataFrame:
+    """All rows of ``every`` with their metrics; without a trade counts, rates and drawdowns are 0."""
+    zero = ["win_rate", "sharpe", "max_drawdown", "profit_factor"]
+    none = F.col("total_trades").isNull()
+    out = every.join(metrics, by, "left")
+    out = out.withColumns({c: F.when(none, 0.0).otherwise(F.col(c)) for c in zero})
+    return out.na.fill(0, ["total_trades"])
 
 
 def best_result(results: DataFrame, by: list[str], params: list[str]) -> DataFrame:
@@ -126,8 +136,8 @@ def walk_forward(candles: DataFrame, ranges: Mapping[str, tuple[float, float]],
                  equity: float = 10_000.0) -> DataFrame:
     """Per symbol and window: the best parameters on the train part and their result on the test part.
 
-    A candle's windows follow from its row number, so no window table is joined.  Windows with
-    fewer than 20 train or 5 test candles are skipped.
+    A candle's windows follow from its row number.  Every window and parameter set has a result; without trades it is
+    zero, and among equal results the first parameters win.
     """
     train = int(size * train_ratio)
     if train < 20 or size - train < 5:
@@ -144,7 +154,11 @@ def walk_forward(candles: DataFrame, ranges: Mapping[str, tuple[float, float]],
     # a holding period must end inside its part
     ends_in = F.when(offset < train, offset + hold < train).otherwise(offset + hold < size)
     placed = placed.withColumn("part", F.when(offset < train, "train").otherwise("test")).filter(ends_in)
-    m = _grid_metrics(placed, ["symbol", "window", "part", *params], equity)
+    windows = n.filter(F.col("__n") >= size).select(
+        "symbol", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - size) / step).cast("bigint"))).alias("window"))
+    every = grid(windows, ranges, steps).withColumn("part", F.explode(F.array(F.lit("train"), F.lit("test"))))
+    by = ["symbol", "window", "part", *params]
+    m = _completed(every, _grid_metrics(placed, by, equity), by)
     best = best_result(m.filter("part = 'train'").drop("part"), ["symbol", "window"], params)
     best = best.select("symbol", "window", *params, F.col("sharpe").alias("train_sharpe"))
     test = m.filter("part = 'test'").select("symbol", "window", *params, F.col("sharpe").alias("test_sharpe"),

@@ -141,7 +141,7 @@ HORIZONS_MS = (15_000, 30_000, 60_000, 300_000, 900_000)
 
 
 def forward_returns(signals: DataFrame, prices: DataFrame, signal_id: str, horizons=HORIZONS_MS,
-                    keep: int | None = 500) -> DataFrame:
+                    keep: int | None = None) -> DataFrame:
     """Signed return, best and worst move of each signal within each horizon.
 
     ``signals``: symbol, ts_ms, side (BUY/SELL), price.  The return is that of the last price

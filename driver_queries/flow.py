@@ -129,29 +129,46 @@ def _(spark, d):
     return bars.select("symbol", "bar", "bar_ts", "buys", "sells", "liq_count")
 
 
-BUCKETS = f"""{ORDERED}, c AS (SELECT *, (sum(qty) OVER (PARTITION BY symbol ORDER BY rn))::BIGINT AS hi FROM tr),
- p AS (SELECT *, unnest(range((hi-qty::BIGINT)//100, (hi-1)//100+1)) AS bucket FROM c),
- q AS (SELECT symbol, bucket, ts_ms, side, least(hi,(bucket+1)*100)-greatest(hi-qty::BIGINT,bucket*100) AS part FROM p),
- g AS (SELECT symbol, bucket, max(ts_ms) AS ts_ms, coalesce(sum(part) FILTER (side='buy'),0)::BIGINT AS buys,
-  coalesce(sum(part) FILTER (side='sell'),0)::BIGINT AS sells FROM q GROUP BY ALL)"""
+def _buckets(qty: str) -> str:
+    return f"""{ORDERED}, sized AS (SELECT * REPLACE ({qty} AS qty) FROM tr),
+ c AS (SELECT *, sum(qty) OVER (PARTITION BY symbol ORDER BY rn) AS hi FROM sized),
+ p AS (SELECT *, unnest(range(floor((hi-qty)/100)::BIGINT, greatest(floor((hi-qty)/100), ceil(hi/100)-1)::BIGINT+1)) AS bucket FROM c),
+ q AS (SELECT symbol, bucket, ts_ms, side, hi, greatest(0, least(hi,(bucket+1)*100)-greatest(hi-qty,bucket*100)) AS part FROM p),
+ g AS (SELECT symbol, bucket, max(ts_ms) AS ts_ms, coalesce(sum(part) FILTER (side='buy'),0)::DOUBLE AS buys,
+  coalesce(sum(part) FILTER (side='sell'),0)::DOUBLE AS sells, max(hi)>=(bucket+1)*100 AS complete FROM q GROUP BY symbol, bucket)"""
+
+
+def _vpin_sql(qty: str) -> str:
+    return f"""WITH {_buckets(qty)}, f AS (SELECT *, abs(buys-sells)/100.0::DOUBLE AS imbalance,
+  row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS n FROM g WHERE complete)
+SELECT symbol, bucket, ts_ms, round(imbalance,6) AS imbalance, round(avg(imbalance) OVER (PARTITION BY symbol
+ ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW),6) AS vpin, least(n,50) AS warmup, n>=20 AS valid FROM f"""
 
 
-@query("f07_volume_buckets",
-       f"WITH {BUCKETS} SELECT symbol, bucket, ts_ms, buys, sells, buys+sells=100 AS complete FROM g")
+@query("f07_volume_buckets", f"WITH {_buckets('qty')} SELECT symbol, bucket, ts_ms, buys, sells, complete FROM g")
 def _(spark, d):
     return flow.volume_buckets(src.trades(spark, d), 100).select(
         "symbol", "bucket", "ts_ms", "buys", "sells", "complete")
 
 
-@query("f07_vpin", f"""WITH {BUCKETS}, f AS (SELECT *, abs(buys-sells)/100.0::DOUBLE AS imbalance,
-  row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS n FROM g WHERE buys+sells=100)
-SELECT symbol, bucket, ts_ms, round(imbalance,6) AS imbalance, round(avg(imbalance) OVER (PARTITION BY symbol
- ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW),6) AS vpin, least(n,50) AS warmup, n>=20 AS valid FROM f""")
+@query("f07_fractional_buckets", f"WITH {_buckets('qty/4')} SELECT symbol, bucket, ts_ms, buys, sells, complete FROM g")
+def _(spark, d):
+    trades = src.trades(spark, d).withColumn("qty", F.col("qty") / 4)
+    return flow.volume_buckets(trades, 100).select("symbol", "bucket", "ts_ms", "buys", "sells", "complete")
+
+
+@query("f07_vpin", _vpin_sql("qty"))
 def _(spark, d):
     return rounded(flow.vpin(src.trades(spark, d), 100), "symbol bucket ts_ms warmup valid",
                    "imbalance vpin")
 
 
+@query("f07_fractional_vpin", _vpin_sql("qty/4"))
+def _(spark, d):
+    trades = src.trades(spark, d).withColumn("qty", F.col("qty") / 4)
+    return rounded(flow.vpin(trades, 100), "symbol bucket ts_ms warmup valid", "imbalance vpin")
+
+
 @query("f08_notional_vpin", _chain_bars("notional", 250000.0, """, g AS (SELECT symbol, bar+1 AS bar,
  sum(notional) AS total, abs(sum(sgn*notional)) AS d FROM b GROUP BY ALL),
  f AS (SELECT symbol, bar, d/total AS imbalance FROM g WHERE total>=250000)

@@ -24,14 +24,14 @@ def query(name, sql=None):
 
 
 PLANS = f"""{TRADES}, sg AS (SELECT symbol, trade_id AS plan_id, ts_ms, CASE WHEN side='buy' THEN 'BUY' ELSE 'SELL' END AS side, price, (5+trade_id%7)::DOUBLE AS spread, qty,
-  CASE WHEN trade_id%3=0 THEN NULL WHEN side='buy' THEN price-100 ELSE price+100 END AS wall, CASE WHEN side='buy' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM trades WHERE trade_id%2=0),
+  CASE WHEN trade_id%3=0 THEN NULL WHEN side='buy' THEN price-100 ELSE price+100 END AS wall, CASE WHEN side='buy' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM trades),
  p1 AS (SELECT *, price+s*(price*0.0001::DOUBLE) AS entry, CASE WHEN wall>0 THEN abs(price-wall)+spread ELSE spread*3 END AS dist FROM sg),
  p2 AS (SELECT *, entry-s*dist AS stop FROM p1),
  plans AS (SELECT *, entry+s*abs(entry-stop)*1.5::DOUBLE AS tp1, entry+s*abs(entry-stop)*2.5::DOUBLE AS tp2, 2.5::DOUBLE AS rr FROM p2)"""
 
 
 def plan_signals(spark, d):
-    return src.trades(spark, d).filter("trade_id % 2 = 0").selectExpr(
+    return src.trades(spark, d).selectExpr(
         "symbol", "trade_id as plan_id", "ts_ms", "case when side = 'buy' then 'BUY' else 'SELL' end as side", "price",
         "cast(5 + trade_id % 7 as double) as spread", "qty",
         "case when trade_id % 3 = 0 then null when side = 'buy' then price - 100 else price + 100 end as wall")
@@ -49,7 +49,7 @@ def _(spark, d):
 
 
 @query("r02_relevant_wall", f"""WITH {WALLS}, w AS (SELECT symbol, ts_ms, max(price) FILTER (side='bid') AS b, min(price) FILTER (side='ask') AS a FROM walls GROUP BY ALL),
- s AS (SELECT symbol, trade_id AS plan_id, ts_ms, side FROM trades WHERE trade_id%2=0), j AS (SELECT s.*, w.ts_ms AS wts, w.b, w.a FROM s ASOF LEFT JOIN w ON s.symbol=w.symbol AND s.ts_ms>=w.ts_ms)
+ s AS (SELECT symbol, trade_id AS plan_id, ts_ms, side FROM trades), j AS (SELECT s.*, w.ts_ms AS wts, w.b, w.a FROM s ASOF LEFT JOIN w ON s.symbol=w.symbol AND s.ts_ms>=w.ts_ms)
 SELECT symbol, plan_id, CASE WHEN ts_ms-wts<={2 * DAY} THEN CASE WHEN side='buy' THEN a ELSE b END END AS wall_price FROM j""")
 def _(spark, d):
     return trade_plans.relevant_wall(plan_signals(spark, d), walls(spark, d), "plan_id", 2 * DAY).select(
@@ -252,7 +252,7 @@ def _(spark, d):
 
 
 POSITIONS = f"""tt AS (SELECT symbol, ts_ms, trade_id, price FROM trades),
- ps AS (SELECT symbol, ts AS plan_id, ts+{HOUR} AS ts_ms, CASE WHEN c>=o THEN 'long' ELSE 'short' END AS side, CASE WHEN c>=o THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, c AS price, atr FROM rec JOIN src USING (symbol, rn) WHERE rn%4=0 AND atr>0),
+ ps AS (SELECT symbol, ts AS plan_id, ts+{HOUR} AS ts_ms, CASE WHEN c>=o THEN 'long' ELSE 'short' END AS side, CASE WHEN c>=o THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, c AS price, atr FROM rec JOIN src USING (symbol, rn) WHERE atr>0),
  p1 AS (SELECT *, price-s*atr*0.3::DOUBLE AS stop FROM ps), p2 AS (SELECT *, price+s*abs(price-stop) AS tp1, price+s*abs(price-stop)*2 AS tp2, 100.0::DOUBLE/abs(price-stop) AS size, price+s*price*0.0001::DOUBLE AS entry FROM p1),
  p3 AS (SELECT *, size*entry*0.0002::DOUBLE AS ef, entry+s*(size*entry*0.0002::DOUBLE*2/size) AS be FROM p2),
  k1 AS (SELECT p.symbol, p.plan_id, min(t.ts_ms) AS t1, arg_min(t.price, t.trade_id) AS x1, arg_min(CASE WHEN s*(t.price-stop)<=0 THEN 0 ELSE 1 END, t.trade_id) AS g1 FROM p3 p JOIN tt t ON t.symbol=p.symbol AND t.ts_ms>p.ts_ms AND t.ts_ms<=p.ts_ms+{HOLD}
@@ -268,7 +268,7 @@ POSITIONS = f"""tt AS (SELECT symbol, ts_ms, trade_id, price FROM trades),
 
 def positions(spark, d):
     c = cn.ordered_candles(src.candles(spark, d, HOUR))
-    a = cn.atr(c, 14, "atr").df.filter("rn % 4 = 0 and atr > 0").selectExpr(
+    a = cn.atr(c, 14, "atr").df.filter("atr > 0").selectExpr(
         "symbol", "ts as plan_id", f"ts + {HOUR} as ts_ms", "case when c >= o then 'long' else 'short' end as side", "c as price", "atr")
     return outcomes.position_outcomes(outcomes.candle_positions(a, stop_atr=0.3), src.trades(spark, d), HOLD)
 
@@ -278,17 +278,17 @@ def _(spark, d):
     return rounded(positions(spark, d), "symbol plan_id side status exit_ms exit_price closed", "fee pnl r_multiple")
 
 
-OPEN = f"""{OUTCOMES}, pr AS (SELECT symbol, trade_id, ts_ms, CASE WHEN side='buy' THEN 'long' ELSE 'short' END AS side FROM trades WHERE trade_id%2=1),
+OPEN = f"""{OUTCOMES}, pr AS (SELECT symbol, trade_id, ts_ms, CASE WHEN side='buy' THEN 'long' ELSE 'short' END AS side FROM trades),
  oa AS (SELECT pr.symbol, pr.trade_id, any_value(pr.side) AS side, count(*) FILTER (o.ts_ms<=pr.ts_ms AND (o.exit_ms IS NULL OR o.exit_ms>pr.ts_ms)) AS open_count,
   count(*) FILTER (o.ts_ms<=pr.ts_ms AND (o.exit_ms IS NULL OR o.exit_ms>pr.ts_ms) AND o.side='BUY') AS open_longs, coalesce(sum(o.qty) FILTER (o.exit_ms<=pr.ts_ms),0) AS realized_pnl
- FROM pr LEFT JOIN (SELECT * FROM outc WHERE plan_id%10=0) o ON o.symbol=pr.symbol GROUP BY pr.symbol, pr.trade_id)"""
+ FROM pr LEFT JOIN outc o ON o.symbol=pr.symbol GROUP BY pr.symbol, pr.trade_id)"""
 
 
 def open_at(spark, d):
-    pos = bracket(spark, d).filter("plan_id % 10 = 0").select(
+    pos = bracket(spark, d).select(
         "symbol", F.col("submit_ms").alias("entry_ms"), "exit_ms", F.when(F.col("side") == "BUY", "long").otherwise("short").alias("side"),
         F.col("qty").alias("pnl"), F.col("plan_id").alias("position_id"))
-    probes = src.trades(spark, d).filter("trade_id % 2 = 1").select(
+    probes = src.trades(spark, d).select(
         "symbol", "ts_ms", "trade_id", F.when(F.col("side") == "buy", "long").otherwise("short").alias("side"))
     return sizing.open_positions_at(pos, probes, "trade_id")
 
@@ -328,14 +328,17 @@ GRID = f"""{CD}, ri AS (SELECT *, avg(c) OVER w AS m, stddev_pop(c) OVER w AS sd
  td AS (SELECT *, side*fwd AS ret FROM tr2 WHERE side<>0 AND fwd IS NOT NULL)"""
 
 
-def grid_metrics(by, source):
-    return f"""eq AS (SELECT {by}, ts, ret, 10000+sum(ret*10000) OVER (PARTITION BY {by} ORDER BY ts) AS eq FROM {source}),
+def grid_metrics(by, source, every):
+    """Metrics of each group; those of ``every`` without a trade have zeros."""
+    return f"""ev AS ({every}), eq AS (SELECT {by}, ts, ret, 10000+sum(ret*10000) OVER (PARTITION BY {by} ORDER BY ts) AS eq FROM {source}),
  pk AS (SELECT *, greatest(10000, max(eq) OVER (PARTITION BY {by} ORDER BY ts)) AS pk FROM eq),
- gm AS (SELECT {by}, count(*) AS total_trades, avg(CASE WHEN ret>0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, coalesce(sum(ret) FILTER (ret>0),0)/nullif(coalesce(sum(-ret) FILTER (ret<=0),0),0) AS profit_factor,
-  coalesce(avg(ret)/nullif(stddev_pop(ret),0)*sqrt(252.0::DOUBLE),0) AS sharpe, greatest(max((pk-eq)/pk),0) AS max_drawdown FROM pk GROUP BY {by})"""
+ g0 AS (SELECT {by}, count(*) AS total_trades, avg(CASE WHEN ret>0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, coalesce(sum(ret) FILTER (ret>0),0)/nullif(coalesce(sum(-ret) FILTER (ret<=0),0),0) AS profit_factor,
+  coalesce(avg(ret)/nullif(stddev_pop(ret),0)*sqrt(252.0::DOUBLE),0) AS sharpe, greatest(max((pk-eq)/pk),0) AS max_drawdown FROM pk GROUP BY {by}),
+ gm AS (SELECT {by}, coalesce(total_trades,0) AS total_trades, coalesce(win_rate,0) AS win_rate, CASE WHEN total_trades IS NULL THEN 0 ELSE profit_factor END AS profit_factor,
+  coalesce(sharpe,0) AS sharpe, coalesce(max_drawdown,0) AS max_drawdown FROM ev LEFT JOIN g0 USING ({by}))"""
 
 
-CAL = GRID.replace("@MULTS@", "1.0::DOUBLE,1.25,1.5,1.75,2.0") + ", " + grid_metrics("symbol, mult", "td")
+CAL = GRID.replace("@MULTS@", "1.0::DOUBLE,1.25,1.5,1.75,2.0") + ", " + grid_metrics("symbol, mult", "td", "SELECT DISTINCT symbol, mult FROM gr")
 
 
 def cal(spark, d):
@@ -352,8 +355,9 @@ def _(spark, d):
     return rounded(backtest.best_result(cal(spark, d), ["symbol"], ["mult"]), "symbol mult total_trades", "sharpe")
 
 
+WINDOWS = """SELECT symbol, unnest(range(0,(n-100)//50+1)) AS "window", part, mult FROM (SELECT symbol, mult, max(n) AS n FROM gr GROUP BY ALL) x, unnest(['train','test']) AS y(part) WHERE n>=100"""
 WF = GRID.replace("@MULTS@", "1.0::DOUBLE,1.5,2.0") + """, wn AS (SELECT td.*, w.i AS "window" FROM td JOIN (SELECT unnest(range(0,5000)) AS i) w ON td.rn>=w.i*50 AND td.rn<w.i*50+100 AND w.i*50+100<=td.n),
- pt AS (SELECT *, CASE WHEN rn-"window"*50<70 THEN 'train' ELSE 'test' END AS part FROM wn WHERE CASE WHEN rn-"window"*50<70 THEN rn-"window"*50+5<70 ELSE rn-"window"*50+5<100 END), """ + grid_metrics('symbol, "window", part, mult', "pt") + """,
+ pt AS (SELECT *, CASE WHEN rn-"window"*50<70 THEN 'train' ELSE 'test' END AS part FROM wn WHERE CASE WHEN rn-"window"*50<70 THEN rn-"window"*50+5<70 ELSE rn-"window"*50+5<100 END), """ + grid_metrics('symbol, "window", part, mult', "pt", WINDOWS) + """,
  bt AS (SELECT *, row_number() OVER (PARTITION BY symbol, "window" ORDER BY sharpe DESC, mult) AS k FROM gm WHERE part='train'),
  wf AS (SELECT b.symbol, b."window", b.mult, b.sharpe AS train_sharpe, coalesce(t.sharpe,0) AS test_sharpe, coalesce(t.win_rate,0) AS test_win_rate, coalesce(t.max_drawdown,0) AS test_drawdown, coalesce(t.total_trades,0) AS test_trades
   FROM bt b LEFT JOIN gm t ON t.symbol=b.symbol AND t."window"=b."window" AND t.mult=b.mult AND t.part='test' WHERE k=1)"""

@@ -457,7 +457,7 @@ def _(spark, d):
 
 
 @query("n06_compression_breakout", f"""WITH {FLOW}, c AS (SELECT symbol, ts_ms, CASE WHEN pressure>5 THEN 'buy' WHEN pressure< -5 THEN 'sell' ELSE 'neutral' END AS cvd_dir,
- CASE WHEN lo5=hi5 AND bn>=4 THEN CASE WHEN lo5>0 THEN 'buy' ELSE 'sell' END ELSE 'neutral' END AS flow_dir, CASE WHEN pd>0 THEN 'buy' WHEN pd<0 THEN 'sell' ELSE 'neutral' END AS tape_dir FROM lb),
+ CASE WHEN lo5=hi5 AND bn>=4 AND lo5>0 THEN 'buy' WHEN lo5=hi5 AND bn>=4 AND lo5<0 THEN 'sell' ELSE 'neutral' END AS flow_dir, CASE WHEN pd>0 THEN 'buy' WHEN pd<0 THEN 'sell' ELSE 'neutral' END AS tape_dir FROM lb),
  v AS (SELECT *, (cvd_dir='buy')::INT+(flow_dir='buy')::INT+(tape_dir='buy')::INT AS b, (cvd_dir='sell')::INT+(flow_dir='sell')::INT+(tape_dir='sell')::INT AS s FROM c)
 SELECT symbol, ts_ms, CASE WHEN greatest(b,s)<2 OR b=s THEN 'neutral' WHEN b>s THEN 'bullish' ELSE 'bearish' END AS breakout,
  CASE greatest(b,s) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'none' END AS agreement FROM v""")
@@ -470,9 +470,8 @@ def _(spark, d):
     def side(up, down):
         return F.when(up, "buy").when(down, "sell").otherwise("neutral")
     run = (F.col("lo") == F.col("hi")) & (F.col(RN) >= 4)
-    # the check SQL takes a run of zero deltas as a sell
     hints = o.df.withColumns({
         "cvd_dir": side(F.col("pressure") > 5, F.col("pressure") < -5),
-        "flow_dir": side(run & (F.col("lo") > 0), run & (F.col("lo") <= 0)),
+        "flow_dir": side(run & (F.col("lo") > 0), run & (F.col("lo") < 0)),
         "tape_dir": side(F.col("pd") > 0, F.col("pd") < 0)})
     return signals.compression_breakout(hints).select("symbol", F.col("end_ts").alias("ts_ms"), "breakout", "agreement")
