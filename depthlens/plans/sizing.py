@@ -117,31 +117,40 @@ def portfolio_check(plans: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def open_positions_at(positions: DataFrame, probes: DataFrame, probe_id: str) -> DataFrame:
-    """Positions open when each probe arrives: count, longs, shorts and realised pnl so far.
+    """Positions open when each probe arrives: count, longs, shorts, realised pnl so far and ``day_pnl`` (that of the
+    probe's UTC day alone).
 
     ``positions``: symbol, entry_ms, exit_ms (NULL = open), side (long/short), pnl, position_id.
     Opens and closes become +1/-1 events in one running sum: no join of positions with probes.
     """
     from depthlens.operators.ordered import order_rows
+    money = "decimal(28,10)"  # summed exactly, whatever the order
     one = F.when(F.col("side") == "long", 1).otherwise(0)
     opens = positions.select("symbol", F.col("entry_ms").alias("ts_ms"), F.lit(1).alias("__k"), F.col("position_id").alias("__id"),
-                             F.lit(1).alias("__n"), one.alias("__l"), F.lit(0.0).alias("__p"))
+                             F.lit(1).alias("__n"), one.alias("__l"), F.lit(0).cast(money).alias("__p"))
     closes = positions.filter("exit_ms is not null").select(
         "symbol", F.col("exit_ms").alias("ts_ms"), F.lit(0).alias("__k"), F.col("position_id").alias("__id"),
-        F.lit(-1).alias("__n"), (-one).alias("__l"), F.col("pnl").alias("__p"))
+        F.lit(-1).alias("__n"), (-one).alias("__l"), F.col("pnl").cast(money).alias("__p"))
     asks = probes.select("symbol", "ts_ms", F.lit(2).alias("__k"), F.col(probe_id).alias("__id"),
                          F.struct(*[c for c in probes.columns if c not in ("symbol", "ts_ms")]).alias("__row"))
     rows = opens.unionByName(closes).unionByName(asks, allowMissingColumns=True)
     o = order_rows(rows, ["symbol"], ["ts_ms", "__k", "__id"]).running({
         "open_count": ("sum", F.col("__n")), "open_longs": ("sum", F.col("__l")), "realized_pnl": ("sum", F.col("__p"))})
     out = o.df.filter("__k = 2").select("symbol", "ts_ms", "__row.*", *[
-        F.coalesce(c, F.lit(z)).alias(c) for c, z in (("open_count", 0), ("open_longs", 0), ("realized_pnl", 0.0))])
-    return out.withColumn("open_shorts", F.col("open_count") - F.col("open_longs"))
+        F.coalesce(c, F.lit(0)).alias(c) for c in ("open_count", "open_longs")],
+        F.coalesce(F.col("realized_pnl").cast("double"), F.lit(0.0)).alias("realized_pnl"))
+    out = out.withColumn("open_shorts", F.col("open_count") - F.col("open_longs"))
+    keep = ["symbol", "ts_ms", "__k", "__id", "__p"]
+    today = closes.select(keep).unionByName(asks.withColumn("__p", F.lit(0).cast(money)).select(keep))
+    today = today.withColumn("__day", F.floor(F.col("ts_ms") / 86_400_000))
+    day = order_rows(today, ["symbol", "__day"], ["ts_ms", "__k", "__id"], within=o).running({"day_pnl": ("sum", F.col("__p"))})
+    day = day.df.filter("__k = 2").select("symbol", F.col("__id").alias(probe_id), F.col("day_pnl").cast("double").alias("day_pnl"))
+    return out.join(day, ["symbol", probe_id])
 
 
 def risk_check(probes: DataFrame, equity: float = 10_000.0, max_open: int = 5, max_daily_loss: float = 0.03,
                max_correlation: float = 0.5) -> DataFrame:
-    """Allowed unless too many positions are open, the loss limit is hit, or one side is full.
+    """Allowed unless too many positions are open, the day's loss limit is hit, or one side is full.
 
     ``probes``: rows of open_positions_at with side (long/short).
     """
@@ -149,7 +158,7 @@ def risk_check(probes: DataFrame, equity: float = 10_000.0, max_open: int = 5, m
     limit = math.ceil(max_correlation * max_open)
     same = F.when(F.col("side") == "long", F.col("open_longs")).otherwise(F.col("open_shorts"))
     reason = (F.when(F.col("open_count") >= max_open, "max_open")
-              .when(F.col("realized_pnl") <= -equity * max_daily_loss, "daily_loss")
+              .when(F.col("day_pnl") <= -equity * max_daily_loss, "daily_loss")
               .when(same >= limit, "same_direction"))
     return probes.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 

@@ -280,25 +280,25 @@ def _(spark, d):
 
 OPEN = f"""{OUTCOMES}, pr AS (SELECT symbol, trade_id, ts_ms, CASE WHEN side='buy' THEN 'long' ELSE 'short' END AS side FROM trades),
  oa AS (SELECT pr.symbol, pr.trade_id, any_value(pr.side) AS side, count(*) FILTER (o.ts_ms<=pr.ts_ms AND (o.exit_ms IS NULL OR o.exit_ms>pr.ts_ms)) AS open_count,
-  count(*) FILTER (o.ts_ms<=pr.ts_ms AND (o.exit_ms IS NULL OR o.exit_ms>pr.ts_ms) AND o.side='BUY') AS open_longs, coalesce(sum(o.qty) FILTER (o.exit_ms<=pr.ts_ms),0) AS realized_pnl
+  count(*) FILTER (o.ts_ms<=pr.ts_ms AND (o.exit_ms IS NULL OR o.exit_ms>pr.ts_ms) AND o.side='BUY') AS open_longs, coalesce((sum(o.pnl::DECIMAL(28,10)) FILTER (o.exit_ms<=pr.ts_ms))::DOUBLE,0) AS realized_pnl, coalesce((sum(o.pnl::DECIMAL(28,10)) FILTER (o.exit_ms<=pr.ts_ms AND o.exit_ms//86400000=pr.ts_ms//86400000))::DOUBLE,0) AS day_pnl
  FROM pr LEFT JOIN outc o ON o.symbol=pr.symbol GROUP BY pr.symbol, pr.trade_id)"""
 
 
 def open_at(spark, d):
     pos = bracket(spark, d).select(
         "symbol", F.col("submit_ms").alias("entry_ms"), "exit_ms", F.when(F.col("side") == "BUY", "long").otherwise("short").alias("side"),
-        F.col("qty").alias("pnl"), F.col("plan_id").alias("position_id"))
+        "pnl", F.col("plan_id").alias("position_id"))
     probes = src.trades(spark, d).select(
         "symbol", "ts_ms", "trade_id", F.when(F.col("side") == "buy", "long").otherwise("short").alias("side"))
     return sizing.open_positions_at(pos, probes, "trade_id")
 
 
-@query("j04_open_positions", f"WITH {OPEN} SELECT symbol, trade_id, open_count, open_longs, open_count-open_longs AS open_shorts, realized_pnl FROM oa")
+@query("j04_open_positions", f"WITH {OPEN} SELECT symbol, trade_id, open_count, open_longs, open_count-open_longs AS open_shorts, round(realized_pnl,6) AS realized_pnl, round(day_pnl,6) AS day_pnl FROM oa")
 def _(spark, d):
-    return open_at(spark, d).select("symbol", "trade_id", "open_count", "open_longs", "open_shorts", "realized_pnl")
+    return rounded(open_at(spark, d), "symbol trade_id open_count open_longs open_shorts", "realized_pnl day_pnl")
 
 
-@query("r10_risk_check", f"""WITH {OPEN}, r AS (SELECT *, CASE WHEN open_count>=5 THEN 'max_open' WHEN realized_pnl<= -300 THEN 'daily_loss' WHEN CASE WHEN side='long' THEN open_longs ELSE open_count-open_longs END>=3 THEN 'same_direction' END AS reason FROM oa)
+@query("r10_risk_check", f"""WITH {OPEN}, r AS (SELECT *, CASE WHEN open_count>=5 THEN 'max_open' WHEN day_pnl<= -300 THEN 'daily_loss' WHEN CASE WHEN side='long' THEN open_longs ELSE open_count-open_longs END>=3 THEN 'same_direction' END AS reason FROM oa)
 SELECT symbol, trade_id, reason, reason IS NULL AS allowed FROM r""")
 def _(spark, d):
     return sizing.risk_check(open_at(spark, d)).select("symbol", "trade_id", "reason", "allowed")
