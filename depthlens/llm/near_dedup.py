@@ -19,6 +19,7 @@ Two sets of similarity 0.85 share no band key with probability (1 - 0.85**4)**32
 
 from __future__ import annotations
 
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -185,26 +186,40 @@ def _blocked_pairs(mixed: DataFrame, most: int) -> DataFrame:
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "sketch"
     )
 
-    def compare(table):
-        import pyarrow as pa
-
-        ids, comp, own = (table.column(n).to_numpy() for n in ("doc_id", "comp", "own"))
-        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        i = table.column("i")[0].as_py()
+    def compare(ids, comp, own, i, j, sketches):
+        """Close pairs of one task: members of block i with those of block j."""
         left = np.flatnonzero(own == i)
-        right = left if i == table.column("j")[0].as_py() else np.flatnonzero(own != i)
-        a, b = [], []
+        right = left if i == j else np.flatnonzero(own != i)
         for k in left.tolist():
-            near = right[(sketch_distance(s[k], s[right]) <= most) & (comp[right] != comp[k])]
-            a += [np.minimum(ids[k], ids[near])]
-            b += [np.maximum(ids[k], ids[near])]
-        a, b = np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
-        return pa.table({"a": a, "b": b})
-
-    return x.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            near = right[(sketch_distance(sketches[k], sketches[right]) <= most) & (comp[right] != comp[k])]
+            if len(near):
+                yield np.minimum(ids[k], ids[near]), np.maximum(ids[k], ids[near])
 
+    def run(batches):
+        import pyarrow as pa
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rounds: int = 3) -> DataFrame:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            # tasks lie one behind the other; the last of a batch may go on in the next
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            key, i, j, own, ids, comp = (table.column(n).to_numpy() for n in ("key", "i", "j", "own", "doc_id", "comp"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = np.concatenate([[0], cuts, [len(key)] if batch is None else []]).astype(np.int64)
+            s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+            found = [
+                p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
+                for p in compare(ids[a:b], comp[a:b], own[a:b], i[a], j[a], s[a:b])
+            ]
+            held = None if batch is None else table.slice(int(cuts[-1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[n] for p in found])) for n in (0, 1)], names=["a", "b"])
+
+    return x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rounds: int = 2) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; ``component_id`` is the
@@ -229,19 +244,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rounds:
     ids = members.select("doc_id").distinct()
     sketches = write_table(classes.select("doc_id", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
     bodies = write_table(_bodies(docs, ids), "bodies")
-    close = members.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    members = members.withColumns({"comp": F.col("doc_id"), "centre_comp": F.col("centre")})
     for step in range(rounds):
-        pairs = write_table(_close(_with_sketches(close, sketches), most), "close")
+        star = members.filter("comp <> centre_comp").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
+        pairs = write_table(_close(_with_sketches(star.distinct(), sketches), most), "close")
         links = links.unionByName(write_table(_confirmed(pairs, bodies, percent, width), "links"))
         comps = write_table(components(links), "components")
-        member_comp = members.select("key", "doc_id").join(
+        # from now on the components stand for all links found so far
+        links = comps.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+        # a centre has met its whole bucket
+        rest = members.filter("doc_id <> centre").select("key", "doc_id").join(
             comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left"
         ).withColumn("comp", F.coalesce("comp", "doc_id"))
-        open_keys = member_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        members = write_table(member_comp.join(open_keys.select("key"), "key", "left_semi"), "open")
+        open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        members = write_table(rest.join(open_keys.select("key"), "key", "left_semi"), "open")
         if members.isEmpty():
             break
-        close = _next_stars(members, step)
+        if step + 1 < rounds:
+            members = members.join(_centres(members, step), "key")
     else:
         pairs = write_table(_blocked_pairs(members.join(sketches, "doc_id"), most), "blocked")
         found = write_table(_confirmed(pairs, bodies, percent, width), "links")
@@ -258,16 +278,12 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _next_stars(members: DataFrame, step: int) -> DataFrame:
-    """Pairs of a member outside the largest component of each bucket with the members of other components."""
+def _centres(members: DataFrame, step: int) -> DataFrame:
+    """The next centre of each bucket: a member of the largest component but one."""
     by = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(step))).alias("pick"))
-    # the largest component sorts last; among the others the largest gives the centre
-    ranked = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"))
-    second = by.join(ranked, "key").filter("comp <> top.comp").groupBy("key").agg(F.max(F.struct("n", "comp", "pick")).alias("s"))
-    centres = second.select("key", F.col("s.pick").alias("centre"), F.col("s.comp").alias("centre_comp"))
-    return members.join(centres, "key").filter("comp <> centre_comp").select(
-        F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")
-    ).distinct()
+    top = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"))
+    second = by.join(top, "key").filter("comp <> top.comp").groupBy("key").agg(F.max(F.struct("n", "comp", "pick")).alias("s"))
+    return second.select("key", F.col("s.pick").alias("centre"), F.col("s.comp").alias("centre_comp"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:

@@ -51,7 +51,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
+@pytest.mark.parametrize("rounds", [1, 2])
 def test_near_duplicates_equal_brute_force(spark, rounds):
     rows = near_rows()
     df = spark.createDataFrame([(i, t, None, 1, 2, "x") for i, t in rows], SCHEMA).repartition(3)
@@ -59,7 +59,7 @@ def test_near_duplicates_equal_brute_force(spark, rounds):
     for r in near_dedup.near_duplicates(df, rounds=rounds).collect():
         assert r.n_shingles == len(shingle_set(text[r.doc_id]))
         assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or want[r.doc_id] == r.doc_id)
-    if rounds == 3:
+    if rounds == 2:
         kept = near_dedup.keep_one_of_each(df)
         assert kept.columns == df.columns
         assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
