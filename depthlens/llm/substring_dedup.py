@@ -45,11 +45,11 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return mix((sums[width:] - sums[: n - width + 1]) * np.cumprod(up))
 
 
-def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """Windows that also start in a document with a smaller id.
+def removal_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
+    """doc_id, text_hash (tells apart rows that share an id), and the maximal intervals to remove, as packed pairs of
+    first word and end, of every document with a window that also starts in a document with a smaller id.
 
-    One row per document row with such windows and source of the news: ``doc_id``, ``text_hash`` (tells apart rows that
-    share an id) and ``starts``, packed 32-bit word positions.  A document comes in several rows.
+    Repeated windows return to their documents in one packed record per pair of partitions.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,7 +76,22 @@ def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
             yield from _packed(held, buckets)
 
     packed = keyed.mapInArrow(pack, "bucket int, docs binary, hashes binary, low binary, high binary, wide binary, local binary")
-    return packed.repartition(parts, "bucket").mapInArrow(_matched, "doc_id long, text_hash int, starts binary")
+    repeated = packed.repartition(parts, "bucket").mapInArrow(_matched(buckets), "bucket int, docs binary, starts binary")
+
+    def merge(batches):
+        starts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, tags, first, end = _unpack_docs(r["docs"])
+                at = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["starts"]), np.int32)
+                for d, t, lo, hi in zip(ids.tolist(), tags.tolist(), first.tolist(), end.tolist()):
+                    starts.setdefault((d, t), []).append(np.cumsum(at[lo:hi]))
+        found = [(d, t, covered(np.concatenate(x), width).tobytes()) for (d, t), x in starts.items()]
+        columns = list(zip(*found)) or [[], [], []]
+        types = (pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "text_hash", "intervals"])
+
+    return repeated.repartition(parts, "bucket").mapInArrow(merge, "doc_id long, text_hash int, intervals binary")
 
 
 def _even_keys(spark, parts: int) -> np.ndarray:
@@ -166,82 +181,77 @@ def _runs(row: np.ndarray, start: np.ndarray) -> bytes:
     return np.column_stack([row[at], start[at], np.diff(at, append=len(row))]).astype(np.int32).tobytes()
 
 
-def _settled(r: dict):
+def _settled(r: dict, buckets: np.ndarray):
     """Records of the repeats that were settled inside one piece."""
     runs = np.frombuffer(r["local"], np.int32).reshape(-1, 3)
     n = runs[:, 2]
     starts = np.repeat(runs[:, 1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     ids, tags, _, _ = _unpack_docs(r["docs"])
-    return _by_document(ids, tags, np.repeat(runs[:, 0], n), starts.astype(np.int32))
-
-
-def _matched(batches):
-    """All pieces of this partition's buckets: sort the hashes and report windows with a smaller id elsewhere."""
-    ids, tags, hashes, rows, starts, n = [], [], [], [], [], 0
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["local"]:
-                yield from _settled(r)
-                continue
-            of, tag, first, end = _unpack_docs(r["docs"])
-            step = np.frombuffer(r["low"], np.uint8).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 8
-            step[step == 0xFFFF] = np.frombuffer(r["wide"], np.int64)
-            place = np.cumsum(step)
-            row = np.searchsorted(end, place, side="right")
-            rows.append((row + n).astype(np.int32))
-            starts.append((place - first[row]).astype(np.int32))
-            hashes.append(np.frombuffer(r["hashes"], np.uint64))
-            ids.append(of)
-            tags.append(tag)
-            n += len(of)
-    if not n:
-        return
-    ids, tags, row, start = map(np.concatenate, (ids, tags, rows, starts))
-    h = np.concatenate(hashes)
-    del hashes, rows, starts
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.minimum.reduceat(ids[row[order]], first)
-    hit = order[ids[row[order]] > np.repeat(least, np.diff(first, append=len(h)))]
-    hit.sort()
-    yield from _by_document(ids, tags, row[hit], start[hit])
-
-
-def _by_document(ids, tags, row, start):
-    """One record per document among ``row`` (ascending), in batches."""
-    if not len(row):
-        return
-    cuts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)]])
-    for lo in range(0, len(cuts) - 1, 4096):
-        c = cuts[lo : lo + 4097]
-        some = row[c[:-1]]
-        packed = [start[a:b].tobytes() for a, b in zip(c[:-1], c[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[some]), pa.array(tags[some]), pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "starts"]
-        )
+    return _by_target(ids, tags, np.repeat(runs[:, 0], n), starts.astype(np.int32), buckets)
 
 
-def covered(starts: list[bytes] | None, width: int) -> np.ndarray:
-    """Maximal intervals (first word, end) that the windows at the packed ``starts`` cover."""
-    if not starts:
-        return np.zeros((0, 2), np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(s, np.int32) for s in starts])).astype(np.int64)
-    cut = np.flatnonzero(at[1:] > at[:-1] + width) + 1
-    return np.column_stack([at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + width])
+def _matched(buckets: np.ndarray):
+    """All pieces of a partition's bucket: sort the hashes and report windows with a smaller id elsewhere."""
 
+    def run(batches):
+        ids, tags, hashes, rows, starts, n = [], [], [], [], [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["local"]:
+                    yield from _settled(r, buckets)
+                    continue
+                of, tag, first, end = _unpack_docs(r["docs"])
+                step = np.frombuffer(r["low"], np.uint8).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 8
+                step[step == 0xFFFF] = np.frombuffer(r["wide"], np.int64)
+                place = np.cumsum(step)
+                row = np.searchsorted(end, place, side="right")
+                rows.append((row + n).astype(np.int32))
+                starts.append((place - first[row]).astype(np.int32))
+                hashes.append(np.frombuffer(r["hashes"], np.uint64))
+                ids.append(of)
+                tags.append(tag)
+                n += len(of)
+        if not n:
+            return
+        ids, tags, row, start = map(np.concatenate, (ids, tags, rows, starts))
+        h = np.concatenate(hashes)
+        del hashes, rows, starts
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        least = np.minimum.reduceat(ids[row[order]], first)
+        hit = order[ids[row[order]] > np.repeat(least, np.diff(first, append=len(h)))]
+        hit.sort()
+        yield from _by_target(ids, tags, row[hit], start[hit], buckets)
 
-def removal_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, text_hash, and the maximal intervals to remove (packed pairs of first word and end)."""
+    return run
 
-    def merge(c):
-        return {
-            "doc_id": c["doc_id"], "text_hash": c["text_hash"],
-            "intervals": [covered(s, width).tobytes() for s in c["starts"]],
-        }
 
-    found = repeated_windows(docs, width).groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("starts"))
-    return map_batches(found, merge, "doc_id long, text_hash int, intervals binary")
+def _by_target(ids, tags, row, start, buckets: np.ndarray):
+    """Starts by document (``row`` ascending, starts ascending within), one record per bucket that documents hash to."""
+    if not len(row):
+        return
+    cuts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)]])
+    docs = row[cuts[:-1]]
+    target = (mix(ids[docs].astype(np.uint64) ^ tags[docs].astype(np.uint64)) % np.uint64(len(buckets))).astype(np.int64)
+    step = np.diff(start, prepend=0)
+    step[cuts[:-1]] = start[cuts[:-1]]  # differences within a document
+    z = zstandard.ZstdCompressor(level=1)
+    for t in np.unique(target).tolist():
+        some = np.flatnonzero(target == t)
+        size = cuts[some + 1] - cuts[some]
+        end = np.cumsum(size)
+        steps = np.concatenate([step[cuts[i] : cuts[i + 1]] for i in some.tolist()]).astype(np.int32)
+        packed = _pack_docs(ids[docs[some]], tags[docs[some]], end - size, end)
+        values = ((buckets[t], pa.int32()), (packed, pa.binary()), (z.compress(steps.tobytes()), pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["bucket", "docs", "starts"])
+
+
+def covered(starts: np.ndarray, width: int) -> np.ndarray:
+    """Maximal intervals (first word, end) that the windows at ``starts`` cover."""
+    at = np.unique(starts).astype(np.int64)
+    cut = np.flatnonzero(at[1:] > at[:-1] + width) + 1
+    return np.column_stack([at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + width])
 
 
 def _with_intervals(docs: DataFrame, width: int) -> DataFrame:
