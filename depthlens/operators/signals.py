@@ -39,10 +39,10 @@ def wall_consumed(executions: DataFrame, share: float = 0.7) -> DataFrame:
     return _signal(done, "WALL_CONSUMED", _bull(F.col("side") == "bid"), 75, F.col("price"))
 
 
-def spoofing(executions: DataFrame, near: float = 0.001, executed_below: float = 0.1) -> DataFrame:
-    """A pulled wall close to the mid price of which next to nothing was executed."""
+def spoofing(executions: DataFrame, near: float = 0.001, executed_below: float = 0.1, within_ms: int = 3000) -> DataFrame:
+    """A wall pulled close to the mid price, within ``within_ms`` of its first sight, of which next to nothing was executed."""
     hit = executions.filter(
-        F.col("pulled") & (F.abs(F.col("price") - F.col("mid")) / F.col("mid") < near)
+        F.col("pulled") & (F.col("ts_ms") - F.col("first_ts") < within_ms) & (F.abs(F.col("price") - F.col("mid")) / F.col("mid") < near)
         & (F.col("executed_qty") < F.col("qty") * executed_below))
     return _signal(hit, "SPOOFING", _bull(F.col("side") == "ask"), 85, F.col("mid"))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from depthlens.functions import scalar
-from depthlens.operators import flow
+from depthlens.operators import flow, quality
 from depthlens.sources import driver_tables as src
 from driver_queries.common import DAY, HOUR, LIQS, ORDERED, TRADES, recursive, rounded, rsql
 
@@ -320,3 +320,19 @@ SELECT t.symbol, round(any_value(med),6) AS median, round(any_value(sd),6) AS st
 FROM trades t JOIN m USING (symbol) GROUP BY t.symbol""")
 def _(spark, d):
     return rounded(flow.price_spread(src.trades(spark, d)), "symbol", "median std mad robust_std")
+
+
+@query("x_ages_and_vetoes", f"""WITH {TRADES}, f AS (SELECT *, trade_id%5=0 AS hard, trade_id%3=0 AS soft, trade_id%2=0 AS soft2 FROM trades)
+SELECT trade_id, ts_ms%90000>60000 AS expired, ts_ms%90000>30000 AS stale, hard AS vetoed,
+ round(CASE WHEN soft THEN qty/10 ELSE 0 END+CASE WHEN soft2 THEN 0.5::DOUBLE ELSE 0 END,6) AS penalty FROM f""")
+def _(spark, d):
+    t = src.trades(spark, d)
+
+    def rule(mode, every, adjustment):
+        return F.struct(F.lit(mode).alias("mode"), (F.col("trade_id") % every != 0).alias("pass"), adjustment.cast("double").alias("adjustment"))
+    filters = F.array(rule("hard-veto", 5, F.lit(9)), rule("soft-penalty", 3, F.col("qty") / 10), rule("soft-penalty", 2, F.lit(0.5)))
+    then = F.col("ts_ms") - F.col("ts_ms") % 90_000
+    out = t.select(
+        "trade_id", scalar.is_expired(then, F.col("ts_ms")).alias("expired"), quality.is_stale(then, F.col("ts_ms"), 30_000).alias("stale"),
+        scalar.has_hard_veto(filters).alias("vetoed"), scalar.soft_penalty_sum(filters).alias("penalty"))
+    return rounded(out, "trade_id expired stale vetoed", "penalty")

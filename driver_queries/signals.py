@@ -190,7 +190,7 @@ def _(spark, d):
 
 
 EXEC = f"""{WALLS}, tt AS (SELECT symbol, floor(price/5)*5 AS price, ts_ms, qty AS tq FROM trades),
- ex AS (SELECT w.symbol, w.ts_ms, w.seq, w.side, w.price, any_value(w.qty) AS qty, any_value(w.mid) AS mid, any_value(w.pulled) AS pulled, coalesce(sum(tq),0) AS done
+ ex AS (SELECT w.symbol, w.ts_ms, w.seq, w.side, w.price, any_value(w.qty) AS qty, any_value(w.mid) AS mid, any_value(w.pulled) AS pulled, any_value(w.first_ts) AS first_ts, coalesce(sum(tq),0) AS done
  FROM walls w LEFT JOIN tt ON tt.symbol=w.symbol AND tt.price=w.price AND tt.ts_ms>w.first_ts AND tt.ts_ms<=w.ts_ms GROUP BY w.symbol, w.ts_ms, w.seq, w.side, w.price)"""
 
 
@@ -200,9 +200,9 @@ def _(spark, d):
 
 
 @query("g03_spoofing", f"WITH {EXEC}, z AS (" + S(
-    "SPOOFING", "pulled AND abs(price-mid)/mid<0.2::DOUBLE AND done<qty*0.5::DOUBLE", "ex", "85", "mid", "side='ask'") + f") SELECT {OUT} FROM z")
+    "SPOOFING", f"pulled AND ts_ms-first_ts<{4 * DAY} AND abs(price-mid)/mid<0.9::DOUBLE AND done<qty*50", "ex", "85", "mid", "side='ask'") + f") SELECT {OUT} FROM z")
 def _(spark, d):
-    return sig(signals.spoofing(executions(spark, d), 0.2, 0.5))
+    return sig(signals.spoofing(executions(spark, d), 0.9, 50.0, 4 * DAY))
 
 
 @query("g04_compression", f"""WITH {WALLS}, nw AS (SELECT symbol, seq, bool_or(side='bid' AND (mid-price)/mid<0.05::DOUBLE) AS hb, bool_or(side='ask' AND (price-mid)/mid<0.05::DOUBLE) AS ha FROM walls GROUP BY ALL),
