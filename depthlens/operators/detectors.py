@@ -312,21 +312,39 @@ class DetectorRegistry:
     def names(self) -> Mapping[str, bool]:
         return dict(self._enabled)
 
-    def run(self, *inputs: DataFrame, keep_failing: bool = False) -> DataFrame:
-        """Union of all enabled detectors.  One whose plan cannot be built yields no rows."""
+    def run(self, *inputs: DataFrame, skip_failing: bool = False) -> DataFrame:
+        """Union of all enabled detectors.
+
+        A detector whose plan cannot be built raises; with ``skip_failing`` it yields no rows and its message is kept in
+        ``errors``.
+        """
+        out = None
+        for _, part in self._parts(inputs, skip_failing):
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        if out is None:
+            raise ValueError("no enabled detector")
+        return out
+
+    def row_counts(self, *inputs: DataFrame, skip_failing: bool = False) -> DataFrame:
+        """(detector, rows) of every enabled detector, those without a row included, in one job."""
+        parts = self._parts(inputs, skip_failing)
+        if not parts:
+            raise ValueError("no enabled detector")
+        out = None
+        for name, part in parts:
+            one = part.agg(F.count("*").alias("rows")).select(F.lit(name).alias("detector"), "rows")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _parts(self, inputs, skip_failing: bool) -> list[tuple[str, DataFrame]]:
         parts, self.errors = [], {}
         for name, fn in self._detectors.items():
             if not self._enabled[name]:
                 continue
             try:
-                parts.append(fn(*inputs))
+                parts.append((name, fn(*inputs)))
             except Exception as e:
-                if keep_failing:
+                if not skip_failing:
                     raise
                 self.errors[name] = str(e)
-        if not parts:
-            raise ValueError("no enabled detector")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return parts

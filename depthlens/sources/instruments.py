@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from depthlens.schemas import INSTRUMENT
 
@@ -15,7 +14,6 @@ BUILT_IN = [
     ("binance", "BTCUSDT", 0.1, 0.001, 1, 3, 1.0, 5.0, 0.0002, 0.0005),
 ]
 KEY = ["exchange", "symbol"]
-BROADCAST_ROWS = 100_000
 
 
 def built_in(spark: SparkSession) -> DataFrame:
@@ -27,10 +25,9 @@ def register(catalogue: DataFrame, more: DataFrame) -> DataFrame:
     return more.unionByName(catalogue.join(more.select(*KEY), KEY, "left_anti"))
 
 
-def attach(rows: DataFrame, catalogue: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join of the dimension; broadcast only after counting it against ``limit``."""
-    small = catalogue.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(catalogue) if small else catalogue, KEY, "left")
+def attach(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Left join of the dimension; the planner broadcasts it if it is small."""
+    return rows.join(catalogue, KEY, "left")
 
 
 def require_known(rows: DataFrame, catalogue: DataFrame) -> None:

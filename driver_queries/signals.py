@@ -332,7 +332,7 @@ def _(spark, d):
 ALL = f"""{CHAINS}, {BARS}, {LAGGED}, {LIQK}, raw AS ({SUSTAINED} UNION ALL {EXHAUSTION} UNION ALL {EXPANSION} UNION ALL {CASCADE} UNION ALL {LIQ_CLUSTER})"""
 
 
-def raw(spark, d):
+def registry(spark, d):
     b, l = bars(spark, d), src.liquidations(spark, d)
     reg = detectors.DetectorRegistry()
     reg.register("sustained", lambda: signals.flow_sustained(b))
@@ -341,7 +341,20 @@ def raw(spark, d):
     reg.register("cascade", lambda: signals.cascade_signals(signals.cascade_chains(l, DAY)))
     reg.register("cluster", lambda: signals.liquidation_clusters(l, DAY, 5, 50_000.0))
     reg.register("never", lambda: signals.flow_sustained(b, 3), enabled=False)
-    return reg.run()
+    return reg
+
+
+def raw(spark, d):
+    return registry(spark, d).run()
+
+
+NAMED = dict(sustained=SUSTAINED, exhaustion=EXHAUSTION, expansion=EXPANSION, cascade=CASCADE, cluster=LIQ_CLUSTER)
+
+
+@query("d24_detector_counts", f"WITH RECURSIVE {CHAINS}, {BARS}, {LAGGED}, {LIQK} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS detector, count(*) AS rows FROM ({sql}) {name}" for name, sql in NAMED.items()))
+def _(spark, d):
+    return registry(spark, d).row_counts()
 
 
 COOL, MEM = DAY // 2, 2 * DAY
