@@ -110,7 +110,7 @@ class Encoder:
     """Encodes and decodes texts for one vocabulary file."""
 
     #: Nodes of the trie, and pieces of text whose result is kept, before they are begun anew.
-    MAX_NODES, MAX_KNOWN = 1_000_000, 300_000
+    MAX_NODES, MAX_KNOWN = 1_000_000, 450_000
 
     def __init__(self, vocabulary: str):
         vocab, merges, special = byte_level.parse(vocabulary)
@@ -131,9 +131,11 @@ class Encoder:
 
     def _words(self, piece: str) -> list[str]:
         """Normalized words of a piece of text without blanks."""
-        piece = unicodedata.normalize("NFC", piece)
-        piece = (piece.replace("Σ", "σ") if "Σ" in piece else piece).lower()  # no final sigma
-        return self.pattern.findall(piece)
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece)
+            piece = piece.replace("Σ", "σ")  # no final sigma
+        piece = piece.lower()
+        return [piece] if piece.isalpha() else self.pattern.findall(piece)
 
     def learn(self, pieces: set[str]):
         """Encode all pieces that are not known yet; their distinct words go through the trie in sorted order."""
