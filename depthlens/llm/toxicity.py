@@ -99,9 +99,23 @@ def fit_link(index, sizes, before, y, weight, steps: int = 150, ridge: float = 5
     return Link(words, theta[len(names) : -1], float(theta[-1]))
 
 
+def frequent_features(texts: list[bytes | None], least_rows: int = 4, step: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features`` without those of fewer than ``least_rows`` texts, which no link would use; built in small steps."""
+    memo, parts, sizes = Memo(_indices, 40_000), [], []
+    for lo in range(0, len(texts), step):
+        index, n = word_features(texts[lo : lo + step], memo)
+        parts.append(index.astype(np.int32))
+        sizes.append(n)
+    index, sizes = np.concatenate(parts or [np.zeros(0, np.int32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+    keep = np.bincount(index, minlength=1 << BITS)[index] >= least_rows
+    before = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.cumsum(sizes)
+    return index[keep], before[ends] - before[ends - sizes]
+
+
 def fit_chain(texts: list[bytes | None], labels: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[Link]:
     """One link per column of ``labels`` (rows x categories, NaN: unknown); ``fold`` numbers the rows' folds."""
-    index, sizes = word_features(texts, Memo(_indices))
+    index, sizes = frequent_features(texts)
     row = np.repeat(np.arange(len(sizes)), sizes)
     before, links = np.zeros((len(sizes), 0)), []
     for j in range(labels.shape[1]):
