@@ -26,8 +26,8 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays."""
-    return keep_one_of_each(docs)
+    """One document of each group of near-duplicates (similarity of 0.8 or more) stays."""
+    return keep_one_of_each(docs, percent=80)
 
 
 def drop_contaminated(spark, docs, sf_dir):

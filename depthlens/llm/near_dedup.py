@@ -14,7 +14,7 @@ as all pairs of a bucket:
 3. what is left of a bucket is compared across its components only, in blocks of bounded size: the members outside the
    largest component against all, those of the largest component not among each other.  Blocks emit close pairs only.
 
-Two sets of similarity 0.85 share no band key with probability (1 - 0.85**4)**32 < 1e-10.
+Two sets of similarity 0.8 share no band key with probability (1 - 0.8**4)**32 < 5e-8, of 0.85 < 1e-10.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from depthlens.session import write_table
 
 SAMPLES, ROWS, SKETCH_BITS = 128, 4, 512
 BANDS = SAMPLES // ROWS
-#: Pairs go to the full sets while the sketches' estimate is above the threshold less this margin (about eight times
-#: the standard error at the threshold).
+#: Pairs go to the full sets while the sketches' estimate is above the threshold less this margin (about seven times
+#: the standard error at 0.8).
 MARGIN = 0.27
 #: Members of one block of step 3.
 BLOCK = 512

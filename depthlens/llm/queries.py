@@ -28,7 +28,7 @@ def op1_toxicity(spark, sf_dir):
 
 def op2_near_dedup(spark, sf_dir):
     """Components of documents whose 5-word shingle sets have a similarity of 0.85 or more."""
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def op3_token_counts(spark, sf_dir):

@@ -72,3 +72,15 @@ def test_entry_works_without_the_text_package(monkeypatch):
     monkeypatch.setitem(sys.modules, "depthlens.llm", None)
     names = __spark_entry__.queries()
     assert "f03_time_bars" in names and not [n for n in names if n.startswith("op")] and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    rng = random.Random(4)
+    words = [f"w{i}{rng.randrange(1000)}" for i in range(104)]
+    other = [f"o{i}{rng.randrange(1000)}" for i in range(104)]
+    # 100 shingles each: 90 of 110 (0.818) are shared by 0 and 1, 88 of 112 (0.786) by 2 and 3
+    rows = [(0, words), (1, words[:94] + [f"x{i}" for i in range(10)]), (2, other), (3, other[:92] + [f"y{i}" for i in range(12)])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert groups(rows, percent=85)[1] == 1 and groups(rows, percent=80) == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, None).collect()} == {0, 2, 3}
