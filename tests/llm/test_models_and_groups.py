@@ -182,53 +182,3 @@ def test_quality_rules(spark):
     r = got[205]
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (4, 6, 2, 1, 0)
     assert perplexity.quality_verdicts(docs.limit(0)).count() == 0
-
-
-def kneser_ney(texts):
-    """Trigram probability by loops over dictionaries: p(u, v, w)."""
-    from collections import Counter, defaultdict
-
-    three = Counter(g for t in texts for x in [["<", "<", *perplexity.tokens(t.encode()), ">"]] for g in zip(x, x[1:], x[2:]))
-    two = Counter(g[1:] for g in three)
-    one = Counter(g[1:] for g in two)
-    levels = []
-    for counts in (one, two, three):
-        d, by = perplexity.discounts(np.array(list(counts.values()))), defaultdict(list)
-        for g, n in counts.items():
-            by[g[:-1]].append(n)
-        levels.append((counts, d, by))
-
-    def p(g):
-        if not g:
-            return 1 / (len(one) + 1)
-        counts, d, by = levels[len(g) - 1]
-        under, ns = p(g[1:]), by.get(g[:-1])
-        take = lambda n: d[min(n, 3)]
-        return under if ns is None else (counts[g] - take(counts[g])) / sum(ns) + sum(map(take, ns)) / sum(ns) * under
-
-    return p
-
-
-def test_perplexity_equals_loops_over_the_other_half(spark):
-    rng = random.Random(8)
-    words = ["Kot", "kot", "ма", "ма́", "学", "的", "été", "ete", "x1", ",", "."]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) + "\nend", "xx") for i in range(40)]
-    rows += [(50, rows[3][1], "xx"), (51, "学的学的", "xx"), (52, "Kot never-seen", "xx")]
-    docs = spark.createDataFrame([(i, t, g, 1, 2, "s") for i, t, g in rows], SCHEMA)
-    got = {r.doc_id: r for r in docs.select("doc_id", F.xxhash64("lang", "text").alias("key")).join(perplexity.text_scores(docs), "key").collect()}
-    models = [kneser_ney([t for _, t, _ in rows if perplexity.half_of(t.encode()) == f]) for f in (0, 1)]
-    for i, t, _ in rows:
-        x = ["<", "<", *perplexity.tokens(t.encode()), ">"]
-        want = -np.mean([math.log(models[1 - perplexity.half_of(t.encode())](g)) for g in zip(x, x[1:], x[2:])])
-        assert abs(got[i].log_perplexity - want) < 1e-9
-    assert perplexity.tokens("学的ab é\r\n".encode()) == ["学", "的", "ab", "é", "\n"]
-
-
-def test_texts_with_words_in_wrong_order_are_rejected(spark):
-    rng = random.Random(12)
-    parts = [[f"{place}{i}" for i in range(12)] for place in ("the", "old", "tree", "falls", "here")]  # one slot each
-    text = lambda: " ".join(rng.choice(p) for _ in range(24) for p in parts)
-    rows = [(i, text()) for i in range(160)]
-    rows += [(1000 + i, " ".join(rng.sample(t.split(), 120))) for i, t in rows[:8]]
-    docs = spark.createDataFrame([(i, t, "en", 1, 2, "s") for i, t in rows], SCHEMA)
-    assert all(r.kept == (r.doc_id < 1000) for r in perplexity.quality_verdicts(docs).collect())
