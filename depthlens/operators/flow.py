@@ -278,14 +278,18 @@ def signal_bars(
 
 
 # ---- VPIN -------------------------------------------------------------------------------------
-def volume_buckets(trades: DataFrame, bucket: float) -> DataFrame:
+def volume_buckets(trades: DataFrame | Ordered, bucket: float) -> DataFrame:
     """Equal-volume buckets; a trade of any size is split where it crosses a bucket edge.
 
     Edges are multiples of ``bucket`` on the running volume; a bucket is complete once the running volume has reached
     its end.  Trades without a positive size fill nothing.
     """
     qty, size = F.col("qty").cast("double"), F.lit(float(bucket))
-    o = ordered_trades(trades.filter("qty > 0")).running({"__end": ("sum", qty)})
+    if isinstance(trades, Ordered):
+        o = trades.where(qty > 0)
+    else:
+        o = ordered_trades(trades.filter("qty > 0"))
+    o = o.running({"__end": ("sum", qty)})
     lo, hi, k = F.col("__end") - qty, F.col("__end"), F.col("bucket").cast("double")
     first = F.floor(lo / size)
     parts = o.df.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, F.ceil(hi / size) - 1))))
@@ -297,17 +301,17 @@ def volume_buckets(trades: DataFrame, bucket: float) -> DataFrame:
     ).withColumn("complete", F.col("__reached") >= (k + 1) * size).drop("__reached")
 
 
-def vpin(trades: DataFrame, bucket: float = 100_000, keep: int = 50, warm: int = 20) -> DataFrame:
+def vpin(trades: DataFrame | Ordered, bucket: float = 100_000, keep: int = 50, warm: int = 20) -> DataFrame:
     """Mean order imbalance of the last ``keep`` full volume buckets, at each bucket close."""
     full = volume_buckets(trades, bucket).filter("complete").withColumn(
         "imbalance", F.abs(F.col("buys") - F.col("sells")) / F.lit(float(bucket)))
     return _mean_of_last(full, "imbalance", "bucket", keep, warm)
 
 
-def notional_vpin(trades: DataFrame, size: float = 500_000.0, keep: int = 50) -> DataFrame:
+def notional_vpin(trades: DataFrame | Ordered, size: float = 500_000.0, keep: int = 50) -> DataFrame:
     """VPIN over unsplit notional buckets that close at ``size``."""
-    bars = threshold_bars(
-        trades.withColumn("qty", _notional()), size, F.col("qty")).filter("complete")
+    by_value = trades.col("qty", _notional()) if isinstance(trades, Ordered) else trades.withColumn("qty", _notional())
+    bars = threshold_bars(by_value, size, F.col("qty")).filter("complete")
     bars = bars.withColumn("imbalance", F.abs(F.col("delta")) / F.col("volume"))
     return _mean_of_last(bars, "imbalance", "bar", keep, 1)
 
