@@ -2,8 +2,12 @@
 
 Rule expressions become one nondeterministic automaton, subset construction makes it deterministic over byte classes,
 and partition refinement minimises it into a transition array.  The finder scans every byte once: the lines of a piece
-of text are lanes of a vector, all lanes take one step per byte position.  No rule crosses a line end.  Lines in which
-the finder ends in its accepting state are then cut into spans by the anchored automaton of the same rules.
+of text are lanes of a vector, all lanes take one step per byte position.  No rule crosses a line end.
+
+Lines in which the finder ends in its accepting state are cut into spans, each byte of them in a fixed number of steps: the automaton of
+the reversed rules reads the line once from its end and marks the positions where a match begins; from the leftmost free one the
+anchored automaton walks to the longest end, and the next walk of that rule begins behind it.  So no walk fails, and none
+reads bytes that another of the same rule has taken.
 """
 
 from __future__ import annotations
@@ -16,6 +20,9 @@ from pyspark.sql import DataFrame
 
 from depthlens.llm.text import made_once, map_batches, texts
 
+#: Below this number of lanes the finder takes single steps.
+FEW_LANES = 12
+
 
 class Rule(NamedTuple):
     """A kind of secret.  ``pattern`` is matched leftmost-longest without overlaps; matches below ``least`` are dropped.
@@ -147,6 +154,15 @@ class Automaton:
         self.classes = len(table) // len(accepts)
 
 
+def _byte_classes(nfa: Nfa) -> tuple[np.ndarray, dict[int, int]]:
+    """The class of each byte (no edge tells bytes of one class apart), and one byte of each class."""
+    sets = {m for edges in nfa.edges for m, _ in edges if m is not None}
+    byte_class, signatures = np.zeros(256, np.uint8), {}
+    for b in range(256):
+        byte_class[b] = signatures.setdefault(tuple(b in m for m in sets), len(signatures))
+    return byte_class, {int(c): b for b, c in reversed(list(enumerate(byte_class)))}
+
+
 def compile_rules(patterns: list[str], search: bool) -> Automaton:
     """One automaton for all ``patterns``.
 
@@ -160,18 +176,14 @@ def compile_rules(patterns: list[str], search: bool) -> Automaton:
         start = nfa.state()
         nfa.edges[root].append((None, start))
         ends[nfa.add(p, start)] = i
-    sets = {m for edges in nfa.edges for m, _ in edges if m is not None}
-    byte_class, signatures = np.zeros(256, np.uint8), {}
-    for b in range(256):
-        byte_class[b] = signatures.setdefault(tuple(b in m for m in sets), len(signatures))
-    sample = {int(c): b for b, c in reversed(list(enumerate(byte_class)))}
+    byte_class, sample = _byte_classes(nfa)
     first = nfa.closure([root])
     number, order, rows, accepts = {first: 0}, [first], [], []
     for states in order:  # grows while it is walked
         accept = sum(1 << ends[s] for s in states if s in ends)
         accepts.append(accept)
         row = []
-        for c in range(len(signatures)):
+        for c in range(len(sample)):
             if search and accept:
                 to = states
             else:
@@ -185,6 +197,32 @@ def compile_rules(patterns: list[str], search: bool) -> Automaton:
     return minimised(byte_class, np.array(rows), np.array(accepts), search)
 
 
+def compile_reversed(pattern: str) -> Automaton:
+    """The automaton that reads backwards: it accepts at every byte where a match of ``pattern`` begins."""
+    nfa = Nfa()
+    root = nfa.state()
+    end = nfa.add(pattern, root)
+    back = Nfa()
+    back.edges = [[] for _ in nfa.edges]
+    for s, edges in enumerate(nfa.edges):
+        for members, to in edges:
+            back.edges[to].append((members, s))
+    byte_class, sample = _byte_classes(nfa)
+    first = back.closure([end])
+    number, order, rows, accepts = {first: 0}, [first], [], []
+    for states in order:  # grows while it is walked
+        accepts.append(int(root in states))
+        row = []
+        for c in range(len(sample)):
+            to = back.closure([end, *(t for s in states for m, t in back.edges[s] if m is not None and sample[c] in m)])
+            if to not in number:
+                number[to] = len(order)
+                order.append(to)
+            row.append(number[to])
+        rows.append(row)
+    return minimised(byte_class, np.array(rows), np.array(accepts), False)
+
+
 def minimised(byte_class: np.ndarray, rows: np.ndarray, accepts: np.ndarray, search: bool) -> Automaton:
     """Refine the partition by acceptance until all states of a block go to the same blocks."""
     _, block = np.unique(accepts > 0 if search else accepts, return_inverse=True)
@@ -212,14 +250,24 @@ class Scanner:
         self.finder = compile_rules(
             [f"{r.pattern[:-1]}{{{r.least},}}" if r.pattern[0] == "[" else r.pattern for r in rules], search=True
         )
+        f = self.finder
+        self.find, self.found = f.table.reshape(-1, f.classes)[:, f.byte_class].tolist(), (f.accepts > 0).tolist()
         self.cutter = compile_rules([r.pattern for r in rules], search=False)
         a = self.cutter
         self.next = a.table.reshape(-1, a.classes)[:, a.byte_class].tolist()  # by state and byte
         self.accepts = a.accepts.tolist()
-        live = {s for s, x in enumerate(self.accepts) if x}
-        while more := {s for s, row in enumerate(self.next) if s not in live and not live.isdisjoint(row)}:
-            live |= more
-        self.dead = [s not in live for s in range(len(self.next))]
+        # rules that can still be accepted from a state
+        self.alive = list(self.accepts)
+        changed = True
+        while changed:
+            changed = False
+            for state, row in enumerate(a.table.reshape(-1, a.classes).tolist()):
+                mask = self.alive[state]
+                for to in row:
+                    mask |= self.alive[to]
+                changed, self.alive[state] = changed or mask != self.alive[state], mask
+        self.reversed = [compile_reversed(r.pattern) for r in rules]
+        self.before = [r.table.reshape(-1, r.classes)[:, r.byte_class].tolist() for r in self.reversed]
 
     def flagged(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Indices of the lanes (stretches of ``buffer``) in which some rule matches."""
@@ -230,35 +278,49 @@ class Scanner:
         state = np.zeros(len(order), np.int32)
         # number of lanes that are longer than i bytes, for each i
         longer = len(left) - np.searchsorted(left[::-1], np.arange(left[0] if len(left) else 0), side="right")
-        for i, n in enumerate(longer.tolist()):
+        few = int(np.argmax(longer < FEW_LANES)) if len(longer) and longer[-1] < FEW_LANES else len(longer)
+        for i, n in enumerate(longer[:few].tolist()):
             state[:n] = f.table[state[:n] * f.classes + classes[at[:n] + i]]
+        if few < len(longer):  # a few long lanes are left: a vector of them costs more than single steps
+            for lane in range(int(longer[few])):
+                now, end = int(state[lane]), int(at[lane] + left[lane])
+                for byte in buffer[int(at[lane]) + few : end].tobytes():
+                    now = self.find[now][byte]
+                    if self.found[now]:
+                        break
+                state[lane] = now
         return order[f.accepts[state] > 0]
 
+    def begins(self, line: bytes, rule: int) -> list[int]:
+        """Where in ``line`` a match of a rule begins, ascending: one pass from the end."""
+        before, accepts, state, out = self.before[rule], self.reversed[rule].accepts.tolist(), 0, []
+        at = len(line)
+        for byte in reversed(line):
+            at -= 1
+            state = before[state][byte]
+            if accepts[state]:
+                out.append(at)
+        return out[::-1]
+
     def spans(self, line: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of the kept matches of a line, in bytes."""
-        n, found, free = len(line), [], [0] * len(self.rules)
-        nxt, accepts, dead = self.next, self.accepts, self.dead
-        begin, every = nxt[0], range(len(self.rules))
-        for s in range(n):
-            if dead[begin[line[s]]]:
-                continue
-            state, first, last, at = 0, {}, {}, s
-            while at < n:
-                state = nxt[state][line[at]]
-                if dead[state]:
-                    break
-                at += 1
-                if bits := accepts[state]:
-                    for k in every:
-                        if bits >> k & 1:
-                            first.setdefault(k, at - 1)
-                            last[k] = at
-            for k, end in last.items():
-                if s >= free[k]:
-                    free[k] = end
-                    rule = self.rules[k]
-                    if end - (first[k] if rule.tail else s) >= rule.least:
-                        found.append((s, end, k))
+        n, found = len(line), []
+        nxt, accepts, alive = self.next, self.accepts, self.alive
+        for k, rule in enumerate(self.rules):
+            bit, free = 1 << k, 0
+            for s in self.begins(line, k):
+                if s < free:
+                    continue
+                state, first, at = 0, None, s
+                while at < n:
+                    state = nxt[state][line[at]]
+                    if not alive[state] & bit:
+                        break
+                    at += 1
+                    if accepts[state] & bit:
+                        first, free = at - 1 if first is None else first, at
+                if free - (first if rule.tail else s) >= rule.least:
+                    found.append((s, free, k))
         return found
 
     def scan(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int]]]:
