@@ -11,8 +11,12 @@ as all pairs of a bucket:
    and confirmed links join components;
 2. buckets whose members lie in one component are done.  In the others a member outside the largest component becomes
    the next star's centre; a few rounds of this;
-3. what is left of a bucket is compared across its components only, in blocks of bounded size: the members outside the
-   largest component against all, those of the largest component not among each other.  Blocks emit close pairs only.
+3. what is left of a bucket is compared across its components only, in pairs of blocks of bounded size: the members outside the
+   largest component against all, those of the largest component not among each other.  The task of a pair of blocks has
+   the texts too.  It looks at a pair of members if no earlier band of the two is equal (so in one bucket only), if their
+   set sizes allow the similarity, and if their sketches are close; it confirms the pair on the full sets, and keeps a
+   union-find: it emits confirmed links between members that were not connected yet, so fewer links than members,
+   however many pairs are similar.
 
 Two sets of similarity 0.8 share no band key with probability (1 - 0.8**4)**32 < 5e-8, of 0.85 < 1e-10.
 """
@@ -33,8 +37,8 @@ BANDS = SAMPLES // ROWS
 #: Pairs go to the full sets while the sketches' estimate is above the threshold less this margin (about seven times
 #: the standard error at 0.8).
 MARGIN = 0.27
-#: Members of one block of step 3.
-BLOCK = 512
+#: Members, and shingles of members, of one block of step 3.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -167,13 +171,63 @@ def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return packed.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _blocked_pairs(mixed: DataFrame, most: int) -> DataFrame:
-    """Step 3: close pairs across components of the buckets ``mixed`` (key, doc_id, comp, sketch)."""
-    by = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    stats = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+class Block:
+    """Members of one task (one or two blocks of a bucket): finds confirmed links between its components."""
+
+    def __init__(self, key, i, j, own, ids, comp, n, sketches, bands, bodies, percent: int, width: int, most: int):
+        self.key, self.ids, self.n, self.sketches, self.bands, self.bodies = key, ids, n, sketches, bands, bodies
+        self.percent, self.width, self.most = percent, width, most
+        self.left = np.flatnonzero(own == i)
+        self.right = self.left if i == j else np.flatnonzero(own != i)
+        self.label = np.unique(comp, return_inverse=True)[1]
+        self.sets: dict[int, np.ndarray] = {}
+
+    def full(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            import zstandard
+
+            self.sets[k] = shingles(zstandard.ZstdDecompressor().decompress(self.bodies[k].as_py()), self.width)
+        return self.sets[k]
+
+    def links(self):
+        """Pairs of members that are linked and were not connected by the task's components and links so far."""
+        n, label, percent = self.n, self.label, self.percent
+        for k in self.left.tolist():
+            near = self.right[self.right > k] if self.right is self.left else self.right
+            near = near[label[near] != label[k]]
+            near = near[100 * np.minimum(n[near], n[k]) >= percent * np.maximum(n[near], n[k])]
+            near = near[sketch_distance(self.sketches[k], self.sketches[near]) <= self.most]
+            if not len(near):
+                continue
+            band = int(np.argmax(self.bands[k] == self.key))
+            near = near[np.argmax(self.bands[near] == self.bands[k], axis=1) == band]
+            for c in near.tolist():
+                if label[c] == label[k]:
+                    continue
+                both = _same(self.full(k), self.full(c))
+                if 100 * both >= percent * (len(self.full(k)) + len(self.full(c)) - both):
+                    label[label == label[c]] = label[k]
+                    yield int(self.ids[k]), int(self.ids[c])
+
+
+def _blocked_links(mixed: DataFrame, sketches: DataFrame, bodies: DataFrame, percent: int, width: int, most: int) -> DataFrame:
+    """Step 3: links (a, b) across components of the buckets ``mixed`` (key, doc_id, comp)."""
+    mixed = mixed.join(sketches.select("doc_id", "n_shingles"), "doc_id")
+    by = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    stats = by.groupBy("key").agg(F.max(F.struct("n", "comp", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    slots = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     stats = stats.select(
-        "key", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("m_top"),
-        F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("m_rest"),
+        "key", F.col("top.comp").alias("top"), slots(F.col("top.n"), F.col("top.w")).alias("m_top"),
+        slots(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("m_rest"),
     )
     x = mixed.join(stats, "key").withColumn("rest", F.col("comp") != F.col("top"))
     slot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("rest"), F.col("m_rest")).otherwise(F.col("m_top"))).cast("int")
@@ -183,17 +237,9 @@ def _blocked_pairs(mixed: DataFrame, most: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("m_rest") - 1)
     )
     x = x.withColumn("other", F.explode(others)).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "sketch"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp"
     )
-
-    def compare(ids, comp, own, i, j, sketches):
-        """Close pairs of one task: members of block i with those of block j."""
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own != i)
-        for k in left.tolist():
-            near = right[(sketch_distance(sketches[k], sketches[right]) <= most) & (comp[right] != comp[k])]
-            if len(near):
-                yield np.minimum(ids[k], ids[near]), np.maximum(ids[k], ids[near])
+    x = x.join(sketches, "doc_id").join(bodies, "doc_id")
 
     def run(batches):
         import pyarrow as pa
@@ -204,19 +250,22 @@ def _blocked_pairs(mixed: DataFrame, most: int) -> DataFrame:
             table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
-            key, i, j, own, ids, comp = (table.column(n).to_numpy() for n in ("key", "i", "j", "own", "doc_id", "comp"))
+            key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = np.concatenate([[0], cuts, [len(key)] if batch is None else []]).astype(np.int64)
-            s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
-            found = [
-                p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
-                for p in compare(ids[a:b], comp[a:b], own[a:b], i[a], j[a], s[a:b])
-            ]
+            found = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                t = table.slice(a, b - a).combine_chunks()
+                own, ids, comp, n = (t.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n_shingles"))
+                s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(b - a, -1)
+                bands = t.column("bands").chunk(0).flatten().to_numpy().reshape(b - a, -1)
+                found += Block(key[a], i[a], j[a], own, ids, comp, n, s, bands, t.column("body"), percent, width, most).links()
+            made_once("words", word_hashes).trim()
             held = None if batch is None else table.slice(int(cuts[-1]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[n] for p in found])) for n in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rounds: int = 2) -> DataFrame:
@@ -242,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rounds:
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).filter("n > 1")
     members = write_table(banded.join(shared.select("key", "centre"), "key"), "buckets")
     ids = members.select("doc_id").distinct()
-    sketches = write_table(classes.select("doc_id", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
+    sketches = write_table(classes.select("doc_id", "n_shingles", "sketch", "bands").join(ids, "doc_id", "left_semi"), "sketches")
     bodies = write_table(_bodies(docs, ids), "bodies")
     members = members.withColumns({"comp": F.col("doc_id"), "centre_comp": F.col("centre")})
     for step in range(rounds):
@@ -263,8 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rounds:
         if step + 1 < rounds:
             members = members.join(_centres(members, step), "key")
     else:
-        pairs = write_table(_blocked_pairs(members.join(sketches, "doc_id"), most), "blocked")
-        found = write_table(_confirmed(pairs, bodies, percent, width), "links")
+        found = write_table(_blocked_links(members.select("key", "doc_id", "comp"), sketches, bodies, percent, width, most), "links")
         comps = write_table(components(links.unionByName(found)), "components")
     nodes = comps.select(F.col("node").alias("doc_id"), "comp")
     return sig.join(nodes, "doc_id", "left").select(

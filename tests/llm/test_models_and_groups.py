@@ -66,6 +66,33 @@ def test_near_duplicates_equal_brute_force(spark, rounds):
         assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_template_texts_give_fewer_links_than_members(spark, monkeypatch):
+    """A bucket of texts of similarity 0.7 to 0.9 from one template: result as by brute force, and blocks emit confirmed links only."""
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(400)]
+    rows = []
+    for d in range(260):
+        text = list(core)
+        for at in rng.sample(range(400), rng.choice([4, 14, 16, 18, 20])):
+            text[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(text)))
+    rows += rows[:3]  # repeated rows
+    df = spark.createDataFrame([(i, t, None, 1, 2, "x") for i, t in rows], SCHEMA).repartition(3)
+    emitted = []
+
+    def counted(mixed, *args, made=near_dedup._blocked_links):
+        out = made(mixed, *args)
+        emitted.append((out.count(), mixed.select("doc_id").distinct().count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    monkeypatch.setattr(near_dedup, "_blocked_links", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, rounds=1).collect()}
+    assert got == groups(rows)
+    links, members, different = emitted[0]
+    assert links == different and links < 3 * members
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (3, 4), (4, 3), (200, 199)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
