@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthlens.operators.ordered import order_rows
+from depthlens.operators.ordered import RN, order_rows
+from depthlens.session import write_table
 
 
 def _per_ts(kind: str, x: Column, order: Column) -> Column:
@@ -127,62 +129,114 @@ def asof(
         F.col(f"__seen.{v}").alias(v) for v in values])
 
 
+#: Children of one node of a price tree.
+FAN_OUT = 64
+
+
+@dataclass(frozen=True)
+class PriceTree:
+    """Extremes of ordered prices, ``fan_out`` children a node; one table per level.
+
+    ``levels[0]`` packs the prices of a key by their number, ``levels[n]`` the nodes below it; the
+    last level has one row per key.  A row: key, node, children (at most ``fan_out`` of: at,
+    ts_ms, trade_id - of the last price below -, price - at level 0 -, lo, hi).
+    """
+
+    key: str
+    fan_out: int
+    levels: tuple[DataFrame, ...]
+
+
+def price_tree(prices: DataFrame, key: str, fan_out: int = FAN_OUT) -> PriceTree:
+    """The tree over ``prices`` (key, ts_ms, trade_id, price), in the order of time and id."""
+    o = order_rows(prices.select(key, "ts_ms", "trade_id", "price"), [key], ["ts_ms", "trade_id"])
+    rows = o.df.select(key, F.col(RN).alias("at"), "ts_ms", "trade_id", "price", F.col("price").alias("lo"), F.col("price").alias("hi"))
+    levels, nodes = [], o.max_rows
+    while True:
+        packed = rows.groupBy(key, F.floor(F.col("at") / fan_out).cast("bigint").alias("node")).agg(
+            F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != key]))).alias("children"))
+        levels.append(write_table(packed, "prices"))
+        nodes = -(-nodes // fan_out)
+        if nodes <= 1:
+            return PriceTree(key, fan_out, tuple(levels))
+        last = F.element_at("children", -1)
+        rows = levels[-1].select(
+            key, F.col("node").alias("at"), last["ts_ms"].alias("ts_ms"), last["trade_id"].alias("trade_id"),
+            F.array_min(F.transform("children", lambda c: c["lo"])).alias("lo"),
+            F.array_max(F.transform("children", lambda c: c["hi"])).alias("hi"))
+
+
 def first_touch(
     plans: DataFrame,
-    prices: DataFrame,
+    prices: DataFrame | PriceTree,
     key: str,
     plan_id: str,
-    bin_ms: int,
+    fan_out: int = FAN_OUT,
     strict: bool = False,
 ) -> DataFrame:
     """First price in (start_ms, end_ms] at or beyond a barrier of each plan.
 
     ``plans``: key, plan_id, start_ms, end_ms, lo, hi (either barrier may be NULL) and, to start
     inside a millisecond, start_id: the trade id after which prices of start_ms count.
-    ``prices``: key, ts_ms, trade_id, price.  Adds touch_ts, touch_price, touched ('lo',
-    'hi' or NULL).  ``strict`` asks for prices beyond the barrier.
-
-    Bin summaries (one row per key and bin) rule out almost all bins; actual prices are
-    then read only in the starting bin and the first later bin that can hold a touch.
+    ``prices``: key, ts_ms, trade_id, price, or their ``price_tree`` when several searches share it.
+    Adds touch_ts, touch_id, touch_price, touched ('lo', 'hi' or NULL).  ``strict`` asks for prices
+    beyond the barrier.
+
+    A plan descends the tree twice, reading one node of at most ``fan_out`` children per level and
+    descent.  The first time it follows its start, and notes on each level the next sibling that holds
+    a touch; the lowest level's is the earliest, and the second descent goes from there to the price.
+    The length of a plan's interval and the density of prices do not matter.
     """
-    lo, hi = F.col("lo"), F.col("hi")
+    tree = prices if isinstance(prices, PriceTree) else price_tree(prices, key, fan_out)
+    start_id = F.col("start_id") if "start_id" in plans.columns else F.lit(None)
+    slim = plans.select(key, plan_id, "start_ms", "end_ms", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"),
+                        start_id.cast("bigint").alias("start_id"))
+    state = {"node": "bigint", "found": "bigint", "level": "int", "t_ts": "bigint", "t_id": "bigint", "t_price": "double"}
+    at = slim.filter("p_lo IS NOT NULL OR p_hi IS NOT NULL").withColumns(
+        {c: F.lit(0 if c == "node" else None).cast(t) for c, t in state.items()})
+    columns, top = at.columns, len(tree.levels) - 1
 
     def hit_low(x):
-        return F.coalesce((x < lo) if strict else (x <= lo), F.lit(False))
+        return F.coalesce((x < F.col("p_lo")) if strict else (x <= F.col("p_lo")), F.lit(False))
 
     def hit_high(x):
-        return F.coalesce((x > hi) if strict else (x >= hi), F.lit(False))
-
-    def bin_of(c):
-        return F.floor(F.col(c) / bin_ms)
-
-    binned = prices.select(key, "ts_ms", "trade_id", "price").withColumn("__bin", bin_of("ts_ms"))
-    summary = binned.groupBy(key, "__bin").agg(
-        F.min("price").alias("__min"), F.max("price").alias("__max"))
-    start_id = F.col("start_id") if "start_id" in plans.columns else F.lit(None)
-    slim = plans.select(key, plan_id, "start_ms", "end_ms", "lo", "hi",
-                        start_id.cast("bigint").alias("start_id"))
-    spread = slim.withColumn("__first", bin_of("start_ms")).withColumn(
-        "__bin", F.explode(F.sequence(F.col("__first"), bin_of("end_ms"))))
-    possible = spread.join(summary, [key, "__bin"]).filter(
-        hit_low(F.col("__min")) | hit_high(F.col("__max")))
-    plan_cols = [key, plan_id, "start_ms", "end_ms", "lo", "hi", "start_id"]
-    # the start and end bins are only partly inside the plan's interval; every bin between
-    # them that passes the summary test does hold a touch
-    wanted = possible.groupBy(*plan_cols).agg(
-        F.min(F.when(F.col("__bin") == F.col("__first"), F.col("__bin"))).alias("__b0"),
-        F.min(F.when(F.col("__bin") > F.col("__first"), F.col("__bin"))).alias("__b1"),
-    ).withColumn("__bin", F.explode(F.array_compact(F.array("__b0", "__b1"))))
-    touches = wanted.join(binned, [key, "__bin"]).filter(
-        ((F.col("ts_ms") > F.col("start_ms"))
-         | ((F.col("ts_ms") == F.col("start_ms")) & (F.col("trade_id") > F.col("start_id"))))
-        & (F.col("ts_ms") <= F.col("end_ms"))
-        & (hit_low(F.col("price")) | hit_high(F.col("price")))
-    ).groupBy(key, plan_id).agg(F.min(F.struct(
-        "ts_ms", "trade_id", "price",
-        F.when(hit_low(F.col("price")), "lo").otherwise("hi").alias("touched"),
-    )).alias("__t"))
+        return F.coalesce((x > F.col("p_hi")) if strict else (x >= F.col("p_hi")), F.lit(False))
+
+    def hit(c):
+        return hit_low(c["lo"]) | hit_high(c["hi"])
+
+    def before_start(c):
+        same = (c["ts_ms"] == F.col("start_ms")) & (F.col("start_id").isNull() | (c["trade_id"] <= F.col("start_id")))
+        return (c["ts_ms"] < F.col("start_ms")) | same
+
+    def first_hit(skip):
+        """Number of the first child with a touch after ``skip`` children; NULL without any."""
+        rest = F.slice("children", skip + 1, F.lit(tree.fan_out))
+        place = F.array_position(F.transform(rest, hit), True)
+        return F.when(place > 0, skip + place - 1)
+
+    def touched_row(level, child):
+        """The price itself once the search has reached it."""
+        return {c: child[f] if level == 0 else F.col(c) for c, f in (("t_ts", "ts_ms"), ("t_id", "trade_id"), ("t_price", "price"))}
+
+    for level in range(top, -1, -1):
+        # children that end before the start are left behind; the next one holds it
+        joined = at.join(tree.levels[level], [key, "node"], "left").withColumn("skip", F.size(F.filter("children", before_start)))
+        joined = joined.withColumn("next", first_hit(F.col("skip") + (1 if level else 0)))
+        child, new = F.try_element_at("children", (F.col("next") + 1).cast("int")), F.col("next").isNotNull()
+        at = joined.withColumns({
+            "found": F.when(new, child["at"]).otherwise(F.col("found")), "level": F.when(new, F.lit(level)).otherwise(F.col("level")),
+            **touched_row(level, child), "node": F.try_element_at("children", F.col("skip") + 1)["at"],
+        }).filter("node IS NOT NULL OR found IS NOT NULL").select(columns)
+    at = at.filter("found IS NOT NULL")
+    for level in range(top - 1, -1, -1):
+        below = F.col("level") > level
+        joined = at.withColumn("node", F.when(below, F.col("found"))).join(tree.levels[level], [key, "node"], "left")
+        child = F.try_element_at("children", (first_hit(F.lit(0)) + 1).cast("int"))
+        moved = {c: F.when(below, x).otherwise(F.col(c)) for c, x in {"found": child["at"], **touched_row(level, child)}.items()}
+        at = joined.withColumns(moved).select(columns)
+    touches = at.filter(F.col("t_ts") <= F.col("end_ms")).select(
+        key, plan_id, "t_ts", "t_id", "t_price", F.when(hit_low(F.col("t_price")), "lo").otherwise("hi").alias("side_hit"))
     return plans.join(touches, [key, plan_id], "left").withColumns({
-        "touch_ts": F.col("__t.ts_ms"), "touch_id": F.col("__t.trade_id"),
-        "touch_price": F.col("__t.price"), "touched": F.col("__t.touched"),
-    }).drop("__t")
+        "touch_ts": F.col("t_ts"), "touch_id": F.col("t_id"), "touch_price": F.col("t_price"), "touched": F.col("side_hit"),
+    }).drop("t_ts", "t_id", "t_price", "side_hit")

@@ -1,6 +1,6 @@
 """What became of plans and signals: bracket exits and forward returns.
 
-Plans are never walked price by price: each barrier is found by a first-touch search.
+Plans are never walked price by price: each barrier is found by a first-touch search in a tree of price extremes.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthlens.functions.scalar import MAKER_FEE, TAKER_FEE, money_sum, r_multiple
-from depthlens.operators.intervals import asof, first_touch, range_frame
+from depthlens.operators.intervals import PriceTree, asof, first_touch, price_tree, range_frame
 from depthlens.operators.ordered import top_k
 
 
@@ -22,9 +22,8 @@ def _sign(side: Column) -> Column:
     return F.when(side.isin("BUY", "long"), 1.0).otherwise(-1.0)
 
 
-def _touch(df: DataFrame, prices: DataFrame, stop: str, target: str, bin_ms: int, prefix: str) -> DataFrame:
-    t = first_touch(df.withColumns(_sided(F.col("side"), F.col(stop), F.col(target))), prices,
-                    "symbol", "plan_id", bin_ms)
+def _touch(df: DataFrame, prices: PriceTree, stop: str, target: str, prefix: str) -> DataFrame:
+    t = first_touch(df.withColumns(_sided(F.col("side"), F.col(stop), F.col(target))), prices, "symbol", "plan_id")
     at_target = (F.col("touched") == "hi") == F.col("side").isin("BUY", "long")
     return t.withColumns({
         f"{prefix}_ts": F.col("touch_ts"), f"{prefix}_id": F.col("touch_id"), f"{prefix}_price": F.col("touch_price"),
@@ -49,16 +48,16 @@ def bracket_outcomes(plans: DataFrame, prices: DataFrame, max_hold_ms: int, tp1_
     observed price; TP1 closes ``tp1_share`` and moves the stop to the entry.  One change per
     price.  R counts the initial risk.  Orders still open after ``max_hold_ms`` are valued at the last price.
     """
-    bin_ms = max(max_hold_ms // 48, 1)
+    tree = price_tree(prices, "symbol")
     base = plans.withColumns({"submit_ms": F.col("ts_ms"), "start_ms": F.col("ts_ms"),
                               "end_ms": F.col("ts_ms") + max_hold_ms}).drop("ts_ms")
-    one = _touch(base, prices, "stop", "tp1", bin_ms, "a")
+    one = _touch(base, tree, "stop", "tp1", "a")
     # the second leg exists only after a first target; other plans get barriers of NULL
     hit = F.col("a_target")
     two = one.withColumns({
         "start_ms": F.coalesce("a_ts", "start_ms"), "start_id": F.col("a_id"),
         "__stop2": F.when(hit, F.col("entry")), "__tp2": F.when(hit, F.col("tp2"))})
-    two = _touch(two, prices, "__stop2", "__tp2", bin_ms, "b")
+    two = _touch(two, tree, "__stop2", "__tp2", "b")
     df = _last_price(two, prices)
     s, q, e = _sign(F.col("side")), F.col("qty"), F.col("entry")
     q1 = F.when(hit, q * tp1_share).otherwise(0.0)
@@ -96,20 +95,20 @@ def position_outcomes(positions: DataFrame, prices: DataFrame, max_hold_ms: int)
     """Outcome without partial exits: stop / TP2 at the observed price; TP1 arms a breakeven exit
     at entry plus (minus) twice the entry fee per unit.  Maker fee in, taker fee out.
     """
-    bin_ms = max(max_hold_ms // 48, 1)
+    tree = price_tree(prices, "symbol")
     s, e, size = _sign(F.col("side")), F.col("entry"), F.col("size")
     base = positions.withColumns({"submit_ms": F.col("ts_ms"), "start_ms": F.col("ts_ms"),
                                   "end_ms": F.col("ts_ms") + max_hold_ms}).drop("ts_ms")
     base = base.withColumn("entry_fee", size * e * MAKER_FEE)
     base = base.withColumn("breakeven", e + s * (F.col("entry_fee") * 2.0 / size))
-    one = _touch(base, prices, "stop", "tp1", bin_ms, "a")
+    one = _touch(base, tree, "stop", "tp1", "a")
     hit = F.col("a_target")
     # a first target that does not even cover the fees closes at once
     flat = hit & (s * (F.col("a_price") - F.col("breakeven")) <= 0)
     two = one.withColumns({
         "start_ms": F.coalesce("a_ts", "start_ms"), "start_id": F.col("a_id"), "__flat": F.coalesce(flat, F.lit(False)),
         "__be2": F.when(hit, F.col("breakeven")), "__tp2": F.when(hit, F.col("tp2"))})
-    df = _last_price(_touch(two, prices, "__be2", "__tp2", bin_ms, "b"), prices)
+    df = _last_price(_touch(two, tree, "__be2", "__tp2", "b"), prices)
     b = F.col("b_target")
     status = F.when(~hit, "stopped_out").when(F.col("__flat"), "breakeven").when(b, "tp2_hit").when(
         ~b, "breakeven").when(hit, "tp1_hit").otherwise("open")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depthlens.operators.fold import decision_fires, greedy_starts
-from depthlens.operators.intervals import asof, first_touch, range_frame
+from depthlens.operators.intervals import asof, first_touch, price_tree, range_frame
 from depthlens.operators.ordered import order_rows
 
 
@@ -102,8 +102,8 @@ def test_range_frame_and_asof(spark):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("bin_ms", [7, 90, 5000])
-def test_first_touch(spark, bin_ms, strict):
+@pytest.mark.parametrize("fan_out", [3, 7, 90, 5000])
+def test_first_touch(spark, fan_out, strict):
     rnd = random.Random(9)
     rows, p = [], 100
     for i in range(400):
@@ -114,7 +114,7 @@ def test_first_touch(spark, bin_ms, strict):
     got = {r["pid"]: (r["touch_id"], r["touched"]) for r in first_touch(
         spark.createDataFrame(plans, "k string, pid long, start_ms long, end_ms long, lo double, hi double"),
         spark.createDataFrame(rows, "k string, ts_ms long, trade_id long, price double"),
-        "k", "pid", bin_ms, strict).collect()}
+        "k", "pid", fan_out, strict).collect()}
     for _, pid, s, e, lo, hi in plans:
         want = (None, None)
         for _, t, i, x in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -126,3 +126,34 @@ def test_first_touch(spark, bin_ms, strict):
                     want = (i, "hi")
                     break
         assert got[pid] == want
+
+
+def test_first_touch_reads_one_small_node_a_level(spark):
+    """Starts inside a millisecond, missing barriers and keys; every node that a plan may read has at most ``fan_out`` children."""
+    rnd = random.Random(4)
+    rows, p = [], 100.0
+    for i in range(3000):
+        p += rnd.choice([-0.5, 0, 0.5])
+        rows.append((rnd.choice("aab"), i // 4, i, p))
+    tree = price_tree(spark.createDataFrame(rows, "k string, ts_ms long, trade_id long, price double"), "k", 8)
+    assert len(tree.levels) == 4
+    for n, level in enumerate(tree.levels):
+        assert level.agg(F.max(F.size("children"))).first()[0] <= 8
+        assert level.groupBy("k", "node").count().agg(F.max("count")).first()[0] == 1
+    plans = []
+    for pid in range(200):
+        start = rnd.randrange(-5, 760)
+        lo, hi = 100 - rnd.randrange(0, 40) / 2, 100 + rnd.randrange(0, 40) / 2
+        plans.append((rnd.choice("abc"), pid, start, start + rnd.choice([0, 3, 80, 5000]), rnd.choice([lo, None]), rnd.choice([hi, hi, None]),
+                      rnd.choice([None, start * 4 + 1])))
+    df = spark.createDataFrame(plans, "k string, pid long, start_ms long, end_ms long, lo double, hi double, start_id long")
+    got = {r["pid"]: (r["touch_ts"], r["touch_id"], r["touch_price"], r["touched"]) for r in first_touch(df, tree, "k", "pid").collect()}
+    for k, pid, s, e, lo, hi, sid in plans:
+        want = (None,) * 4
+        for kk, t, i, x in rows:
+            if kk == k and (t > s or (t == s and sid is not None and i > sid)) and t <= e:
+                side = "lo" if lo is not None and x <= lo else "hi" if hi is not None and x >= hi else None
+                if side:
+                    want = (t, i, x, side)
+                    break
+        assert got[pid] == want
