@@ -1,6 +1,7 @@
 """Ordered state that no window frame can express, still split into bounded blocks.
 
-Both folds below work block by block (at most ``block`` rows of one key per task):
+All of it works block by block (at most ``block`` rows of one key per task).  Greedy spacing leaps from block to
+block by pointer doubling (``_starts_by_jumps``).  The other two folds go in three steps:
 
 1. every block publishes how it maps an incoming state to an outgoing one - a short
    step function, because all that matters of the past is one time threshold;
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depthlens.operators.ordered import RN, Ordered
+from depthlens.operators.ordered import RN, Ordered, order_rows
+from depthlens.session import write_table
 
 _BLK = "__blk"
 
@@ -108,47 +110,77 @@ def greedy_starts(o: Ordered, coord: str, gap: float, name: str = "is_start") ->
         starts = _walk(slim, keys, {"in": ["c"], "out": []}, starts_schema,
                        lambda row: float("nan"), step)
     else:
-        slim = slim.withColumn(_BLK, F.floor(F.col(RN) / o.block).cast("bigint"))
+        starts = _starts_by_jumps(o, slim, gap, starts_schema)
+    marked = o.df.join(starts.withColumn(name, F.lit(True)), [*keys, RN], "left")
+    return o.with_df(marked.withColumn(name, F.coalesce(name, F.lit(False))))
 
-        def summary(pdf):
-            pdf = pdf.sort_values(RN)
-            c = pdf["c"].to_numpy()
-            n = len(c)
-            nxt = np.searchsorted(c, c + gap)
-            end = c.copy()
-            for i in range(n - 1, -1, -1):
-                if nxt[i] < n:
-                    end[i] = end[nxt[i]]
-            reach = int(np.searchsorted(c, c[0] + gap)) + 1
-            steps = _rle(c[:reach], end[:reach])
-            out = pd.DataFrame({"upto": steps["upto"], "out": steps["v0"]})
-            for k in [*keys, _BLK]:
-                out[k] = pdf[k].iloc[0]
-            return out[[*keys, _BLK, "upto", "out"]]
 
-        def chain(pdf):
-            last, rows = float("nan"), []
-            for blk, part in pdf.sort_values([_BLK, "upto"]).groupby(_BLK, sort=True):
-                rows.append((blk, last))
-                upto, out = part["upto"].to_numpy(), part["out"].to_numpy()
-                i = 0 if np.isnan(last) else int(np.searchsorted(upto, last + gap))
-                if i < len(out):
-                    last = out[i]
-            res = pd.DataFrame(rows, columns=[_BLK, "carry"])
-            for k in keys:
-                res[k] = pdf[k].iloc[0]
-            return res[[*keys, _BLK, "carry"]]
+def _next_rows(o: Ordered, slim: DataFrame, gap: float) -> DataFrame:
+    """``slim`` (keys, rn, c) with ``next``: the first row whose ``c`` reaches this row's plus ``gap``.
 
-        d, b = T.DoubleType(), T.LongType()
-        steps = slim.groupBy(*keys, _BLK).applyInPandas(
-            summary, _schema(fields, **{_BLK: b, "upto": d, "out": d}))
-        carry = steps.groupBy(*keys).applyInPandas(
-            chain, _schema(fields, **{_BLK: b, "carry": d}))
-        starts = _walk(slim.join(carry, [*keys, _BLK]), [*keys, _BLK],
-                       {"in": ["c", "carry"], "out": []}, starts_schema,
-                       lambda row: float(row["carry"]), step)
-    marked = o.df.join(starts.withColumn(name, F.lit(True)), [*keys, RN], "left")
-    return o.with_df(marked.withColumn(name, F.coalesce(name, F.lit(False))))
+    Rows and targets in one ordering; as many rows lie before a target as its row's number says.
+    """
+    keys = list(o.keys)
+    targets = slim.select(*keys, RN, (F.col("c") + gap).alias("v"), F.lit(0).alias("row"))
+    both = targets.unionByName(slim.select(*keys, RN, F.col("c").alias("v"), F.lit(1).alias("row")))
+    both = order_rows(both.withColumnRenamed(RN, "own"), keys, ["v", "row", "own"], block=o.block)
+    found = both.running({"next": ("sum", F.col("row").cast("bigint"))}).df.filter("row = 0")
+    later = F.greatest(F.coalesce("next", F.lit(0)), F.col("own") + 1)
+    return slim.join(found.select(*keys, F.col("own").alias(RN), later.alias("next")), [*keys, RN])
+
+
+def _starts_by_jumps(o: Ordered, slim: DataFrame, gap: float, starts_schema) -> DataFrame:
+    """The chosen rows of keys that span many blocks.
+
+    Every row knows the next one chosen after it (``_next_rows``).  Inside a block these steps are followed to its end,
+    so a row gets the first row chosen beyond its block.  These leaps are joined with themselves: tables of 1, 2, 4, ...
+    leaps; starting with the key's first row, round k adds to the rows reached those 2**k leaps further on.  A block is entered at
+    most once, and is then walked from there.  No task sees more than one block of a key.
+    """
+    keys = list(o.keys)
+    fields = _key_fields(o)
+    block = o.block
+    blk = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    steps = write_table(_next_rows(o, slim, gap), "steps")
+
+    def leaps(pdf):
+        pdf = pdf.sort_values(RN)
+        at, to = pdf[RN].to_numpy(), pdf["next"].to_numpy()
+        end = (at[0] // block + 1) * block
+        out = to.copy()
+        for i in range(len(at) - 1, -1, -1):  # rows of a block are neighbours: the next row's place is its distance
+            if to[i] < end and to[i] - at[0] < len(at):
+                out[i] = out[to[i] - at[0]]
+        return pdf[keys].assign(at=at, to=out)
+
+    b = T.LongType()
+    leap = steps.withColumn(_BLK, blk(RN)).groupBy(*keys, _BLK).applyInPandas(leaps, _schema(fields, at=b, to=b))
+    leap = write_table(leap, "leaps")
+    # only rows that some leap ends at can be entered, besides the first
+    ends = leap.select(*keys, F.col("to").alias("at")).distinct()
+    nodes = write_table(leap.join(ends, [*keys, "at"], "left_semi").unionByName(leap.filter("at = 0")).distinct(), "jumps")
+    # the last leap of a key ends behind its last row
+    jump = nodes.join(nodes.select(*keys, F.col("at").alias("to")), [*keys, "to"], "left_semi")
+    reached = leap.filter("at = 0").select(*keys, "at")
+    hops, most = 1, -(-o.max_rows // block)
+    while hops < most:
+        on = jump.select(*keys, F.col("at").alias("mid"), F.col("to").alias("far"))
+        ahead = reached.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at"))
+        reached = write_table(reached.unionByName(ahead), "reached")
+        jump = write_table(jump.withColumnRenamed("to", "mid").join(on, [*keys, "mid"]).select(*keys, "at", F.col("far").alias("to")), "jumps")
+        hops *= 2
+    entries = reached.select(*keys, blk("at").alias(_BLK), F.col("at").alias("entry"))
+    inside = steps.withColumn(_BLK, blk(RN)).join(entries, [*keys, _BLK])
+
+    def step(part, at):
+        base, to, n = part[RN][0], part["next"], len(part[RN])
+        picks, p = [], at - base
+        while p < n:
+            picks.append(p)
+            p = to[p] - base
+        return picks, (), p + base
+
+    return _walk(inside, [*keys, _BLK], {"in": [RN, "next", "entry"], "out": []}, starts_schema, lambda row: int(row["entry"]), step)
 
 
 # ---- overlapping sequence numbers -----------------------------------------------------------

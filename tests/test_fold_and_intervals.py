@@ -36,6 +36,20 @@ def test_greedy_spacing(spark, block, gap):
     assert got == want
 
 
+def test_greedy_spacing_of_one_long_key(spark):
+    """One key of 10^5 rows, the gap far above what a block spans, and so short that a block holds many starts."""
+    df = spark.range(100_000).select(F.lit("a").alias("k"), (F.col("id") * 3 + F.col("id") % 2).alias("t"), "id")
+    t = [i * 3 + i % 2 for i in range(100_000)]
+    for gap in (25_000, 40):
+        o = greedy_starts(order_rows(df, ["k"], ["t", "id"], block=1000), "t", gap)
+        want, last = set(), None
+        for i, x in enumerate(t):
+            if last is None or x - last >= gap:
+                want.add(i)
+                last = x
+        assert {r["id"] for r in o.df.filter("is_start").collect()} == want
+
+
 def _loop_fsm(part, thr, dwell, cool):
     state, side, since, out = "IDLE", None, 0, {}
     for _, t, i, s in part:
