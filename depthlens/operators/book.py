@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from depthlens.functions import books as bk
 from depthlens.functions.scalar import array_median, clamp, round_half_up
 from depthlens.operators.intervals import asof
 from depthlens.operators.ordered import RN, Ordered, order_rows
+from depthlens.session import write_table
 
 SIDES = (("bid", "bids"), ("ask", "asks"))
 
@@ -190,12 +193,14 @@ def estimate_fills(
 
 
 # ---- walls -----------------------------------------------------------------------------------
-def wall_levels(books: DataFrame, mult: float = 3.0, depth: int = 15) -> DataFrame:
+def wall_levels(books: DataFrame, mult: float = 3.0, depth: int = 15, band: float = 1e-4) -> DataFrame:
     """Wall sightings: top levels above median(top 10) * mult * clamp(spread bps / 5, .5, 3).
 
-    Adds per sighting: ``is_new`` (no wall at this price in the previous book),
-    ``initial_qty`` and ``pulled`` (more than half of it vanished since the last book).
-    Books with fewer than five levels on a side are passed over.
+    Adds per sighting: ``is_new`` (no wall within ``band`` of this price in the previous book),
+    ``initial_qty`` and ``first_ts`` of its first sighting, and ``pulled`` (more than half of the
+    initial quantity vanished since the last book).  Walls of two books are matched nearest
+    first and one to one, so a wall keeps its identity while its price drifts by less than
+    ``band`` a book.  Books with fewer than five levels on a side are passed over.
     """
     o = ordered_books(books).where((F.size("bids") >= 5) & (F.size("asks") >= 5))
     n10 = F.least(F.lit(10), F.size("bids"), F.size("asks"))
@@ -212,16 +217,80 @@ def wall_levels(books: DataFrame, mult: float = 3.0, depth: int = 15) -> DataFra
     walls = walls.filter(F.col("qty") > F.col("median_qty") * F.col("__f")).drop("__f")
     # a price occurs once per side of a book
     w = order_rows(walls, ["symbol", "side", "price"], ["book"], within=o)
-    w = w.frame(1, 0, lambda win: {
-        "__pb": F.lag("book").over(win), "prev_qty": F.lag("qty").over(win)})
+    w = w.frame(1, 1, lambda win: {
+        "__pb": F.lag("book").over(win), "prev_qty": F.lag("qty").over(win), "__nb": F.lead("book").over(win)})
     new = F.coalesce(F.col("__pb") != F.col("book") - 1, F.lit(True))
     w = w.col("is_new", new).cols({"prev_qty": F.when(~F.col("is_new"), F.col("prev_qty"))})
     w = w.running({
         "initial_qty": ("last", F.when(F.col("is_new"), F.col("qty"))),
         "first_ts": ("last", F.when(F.col("is_new"), F.col("ts_ms"))),
+        "__run": ("last", F.when(F.col("is_new"), F.col("book"))),
     })
+    last = F.coalesce(F.col("__nb") != F.col("book") + 1, F.lit(True))
+    seen = _join_drifting(w.col("__last", last).drop("__pb", "__nb").result(), band)
     pulled = F.col("prev_qty") - F.col("qty") > F.col("initial_qty") * 0.5
-    return w.col("pulled", F.coalesce(pulled, F.lit(False))).drop("__pb").result()
+    return seen.withColumn("pulled", F.coalesce(pulled, F.lit(False)))
+
+
+def _nearest_first(pairs):
+    """Of an array of (distance, new price, old price, ...) those kept if the nearest match first and each price once."""
+    start = F.struct(F.expr("cast(array() as array<double>)").alias("new"), F.expr("cast(array() as array<double>)").alias("old"))
+
+    def step(taken, p):
+        free = ~F.array_contains(taken["new"], p["price"]) & ~F.array_contains(taken["old"], p["old"])
+        add = lambda side, x: F.when(free, F.concat(taken[side], F.array(x))).otherwise(taken[side])
+        return F.struct(add("new", p["price"]).alias("new"), add("old", p["old"]).alias("old"))
+
+    taken = F.aggregate(F.array_sort(pairs), start, step)
+    return F.arrays_zip(taken["new"].alias("price"), taken["old"].alias("old"))
+
+
+def _join_drifting(walls: DataFrame, band: float) -> DataFrame:
+    """Runs of sightings at one price (``__run``: their first book) joined where the price moved within ``band``.
+
+    A run that begins is matched with runs that ended in the book before.  Prices go to cells of
+    log price as wide as the band, so what is near lies in the same or a neighbouring cell: an equi-join,
+    and of a book side only the walls that moved.  Chains of runs are followed to the first one
+    by pointer doubling.
+    """
+    run = ["symbol", "side", "price", "__run"]
+    walls = write_table(walls, "walls")
+    width = -math.log1p(-band)
+    cell = F.floor(F.log(F.col("price")) / width).cast("bigint")
+    begun = walls.filter("is_new").select("symbol", "side", "book", "price", cell.alias("cell"))
+    ended = walls.filter("__last").select(
+        "symbol", "side", (F.col("book") + 1).alias("book"), F.col("price").alias("old"), F.col("__run").alias("old_run"),
+        F.col("qty").alias("old_qty"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    near = begun.join(ended, ["symbol", "side", "book", "cell"]).withColumn("away", F.abs(F.col("old") - F.col("price")))
+    near = near.filter(F.col("away") / F.col("price") < band)
+    # a book side has at most ``depth`` walls
+    pairs = near.groupBy("symbol", "side", "book").agg(F.collect_list(F.struct("away", "price", "old")).alias("pairs"))
+    kept = pairs.select("symbol", "side", "book", F.inline(_nearest_first(F.col("pairs"))))
+    links = near.join(kept, ["symbol", "side", "book", "price", "old"]).select(
+        "symbol", "side", "price", F.col("book").alias("__run"), F.col("old").alias("to_price"), F.col("old_run").alias("to_run"), "old_qty")
+    links = write_table(links, "wall_links")
+    if links.isEmpty():
+        return walls.drop("__run", "__last")
+    roots = links.select(*run, "to_price", "to_run")
+    while True:
+        up = roots.select("symbol", "side", F.col("price").alias("to_price"), F.col("__run").alias("to_run"),
+                          F.col("to_price").alias("up_price"), F.col("to_run").alias("up_run"))
+        further = roots.join(up, ["symbol", "side", "to_price", "to_run"], "left")
+        moved = write_table(further, "wall_roots")
+        roots = moved.select(*run, F.coalesce("up_price", "to_price").alias("to_price"), F.coalesce("up_run", "to_run").alias("to_run"))
+        if moved.filter("up_run IS NOT NULL").isEmpty():
+            break
+    first = walls.filter("is_new").select(
+        "symbol", "side", F.col("price").alias("to_price"), F.col("__run").alias("to_run"),
+        F.col("initial_qty").alias("root_qty"), F.col("first_ts").alias("root_ts"))
+    roots = roots.join(first, ["symbol", "side", "to_price", "to_run"]).select(*run, "root_qty", "root_ts")
+    out = walls.join(roots, run, "left").join(links.select(*run, "old_qty"), run, "left")
+    linked = F.col("is_new") & F.col("old_qty").isNotNull()
+    return out.withColumns({
+        "prev_qty": F.when(linked, F.col("old_qty")).otherwise(F.col("prev_qty")),
+        "initial_qty": F.coalesce("root_qty", "initial_qty"), "first_ts": F.coalesce("root_ts", "first_ts"),
+        "is_new": F.col("is_new") & ~linked,
+    }).drop("__run", "__last", "root_qty", "root_ts", "old_qty")
 
 
 def wall_executions(walls: DataFrame, trades: DataFrame) -> DataFrame:

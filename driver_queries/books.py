@@ -161,6 +161,16 @@ def _(spark, d):
         "symbol", "seq", "side", "rank", "price", "qty", "is_new", "initial_qty", "first_ts", "pulled")
 
 
+# every other book quotes its prices 0.005 % higher: the same walls as on the plain grid, none of them new for the move
+@query("b14_drifting_walls", f"""WITH {WALLS} SELECT symbol, seq, side, rank, CASE WHEN seq%2=1 THEN price*1.00005::DOUBLE ELSE price END AS price, qty, is_new, initial_qty, first_ts, pulled FROM walls""")
+def _(spark, d):
+    up = F.when(F.col("seq") % 2 == 1, 1.00005).otherwise(1.0)
+    moved = src.books(spark, d).withColumns({
+        c: F.transform(c, lambda x: F.struct((x["price"] * up).alias("price"), x["qty"].alias("qty"))) for c in ("bids", "asks")})
+    return book.wall_levels(moved, WALL_MULT).withColumn("rank", F.col("rank").cast("bigint")).select(
+        "symbol", "seq", "side", "rank", "price", "qty", "is_new", "initial_qty", "first_ts", "pulled")
+
+
 @query("n02_wall_executions", f"""WITH {WALLS}, tt AS (SELECT symbol, floor(price/5)*5 AS price, ts_ms, qty AS tq FROM trades)
 SELECT w.symbol, w.seq, w.side, w.price, coalesce(sum(tq),0) AS executed_qty FROM walls w LEFT JOIN tt
  ON tt.symbol=w.symbol AND tt.price=w.price AND tt.ts_ms>w.first_ts AND tt.ts_ms<=w.ts_ms GROUP BY w.symbol, w.seq, w.side, w.price""")

@@ -59,10 +59,10 @@ def _(spark, d):
 
 
 # a chain of greedy bar starts, written as a recursion over the bars
-def _chain_bars(source_measure: str, size: float, final: str) -> str:
+def _chain_bars(source_measure: str, size: float, final: str, rows: str = "tr", order: str = "rn") -> str:
     return f"""WITH RECURSIVE {ORDERED}, c AS (
-  SELECT *, sum({source_measure}) OVER (PARTITION BY symbol ORDER BY rn) AS hi,
-    sum({source_measure}) OVER (PARTITION BY symbol ORDER BY rn) - {source_measure} AS lo FROM tr),
+  SELECT *, sum({source_measure}) OVER (PARTITION BY symbol ORDER BY {order}) AS hi,
+    sum({source_measure}) OVER (PARTITION BY symbol ORDER BY {order}) - {source_measure} AS lo FROM {rows}),
  s AS (SELECT symbol, 0::BIGINT AS bar, 0.0::DOUBLE AS start FROM (SELECT DISTINCT symbol FROM tr)
   UNION ALL
   SELECT symbol, bar, start FROM (
@@ -104,15 +104,17 @@ def _(spark, d):
                    "pressure strength")
 
 
+WITH_LIQS = """(SELECT symbol, ts_ms, trade_id, 0 AS kind, price, side, notional FROM tr UNION ALL
+ SELECT symbol, ts_ms, trade_id, 1, NULL, NULL, 0.0::DOUBLE FROM trades WHERE event_type='error')"""
+
+
 @query("f06b_notional_signal_bars", _chain_bars("notional", 300000.0, """, g AS (
  SELECT symbol, bar+1 AS bar, min(ts_ms) AS bar_ts, coalesce(sum(notional) FILTER (side='buy'),0) AS buys,
- coalesce(sum(notional) FILTER (side='sell'),0) AS sells, max(price) AS high, min(price) AS low FROM b GROUP BY ALL)
-SELECT symbol, bar, bar_ts, buys, sells, high, low FROM g"""))
+ coalesce(sum(notional) FILTER (side='sell'),0) AS sells, max(price) AS high, min(price) AS low, CAST(sum(kind) AS BIGINT) AS liq_count FROM b GROUP BY ALL)
+SELECT symbol, bar, bar_ts, buys, sells, high, low, liq_count FROM g WHERE buys+sells>0""", WITH_LIQS, "ts_ms, kind, trade_id"))
 def _(spark, d):
-    trades = src.trades(spark, d)
-    none = src.liquidations(spark, d).filter("false")
-    bars = flow.signal_bars(trades, none, "notional", size=300_000.0)
-    return bars.select("symbol", "bar", "bar_ts", "buys", "sells", "high", "low")
+    bars = flow.signal_bars(src.trades(spark, d), src.liquidations(spark, d), "notional", size=300_000.0)
+    return bars.select("symbol", "bar", "bar_ts", "buys", "sells", "high", "low", "liq_count")
 
 
 @query("f06c_anchored_signal_bars", f"""WITH RECURSIVE {ORDERED},
