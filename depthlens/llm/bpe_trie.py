@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from array import array
 
 import regex
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ class Trie:
     def clear(self):
         self.child: dict[int, int] = {}
         self.last: list[str] = [""]
-        self.start: list[int] = [0]
+        self.start = array("i", [0])
         self.fits.clear()
 
     def compatible(self, left: str, right: str) -> bool:
@@ -109,8 +110,8 @@ class Trie:
 class Encoder:
     """Encodes and decodes texts for one vocabulary file."""
 
-    #: Nodes of the trie, and pieces of text whose result is kept, before they are begun anew.
-    MAX_NODES, MAX_KNOWN = 1_000_000, 450_000
+    #: Nodes of the trie; bytes of the pieces of text whose result is kept; pieces that are looked at together.
+    MAX_NODES, KNOWN_BYTES, STEP = 600_000, 128 << 20, 50_000
 
     def __init__(self, vocabulary: str):
         vocab, merges, special = byte_level.parse(vocabulary)
@@ -123,11 +124,13 @@ class Encoder:
 
         names = {t: inner(t) for t in vocab if t not in special}
         self.trie = Trie([(inner(a), inner(b)) for a, b in merges], {names[t]: vocab[t] for t in names})
-        self.shown = {names[t]: t for t in names}
+        self.id_text = {names[t]: str(vocab[t]) for t in names}
+        self.shown = {str(i).encode(): t.encode() for t, i in vocab.items()} | {str(i).encode(): t.encode() for t, i in special.items()}
         self.special_ids = special
         self.pattern = regex.compile(WORDS)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, tuple[bytes, bytes, int]] = {"": (b"", b"", 0)}  # piece of text -> ids, tokens, count
+        self.known: dict[str, bytes] = {"": b""}  # piece of text -> ids in decimal, joined by blanks
+        self.older, self.bytes = {}, 0  # pieces that were not asked for since the last time that ``known`` was full
 
     def _words(self, piece: str) -> list[str]:
         """Normalized words of a piece of text without blanks."""
@@ -138,43 +141,69 @@ class Encoder:
         return [piece] if piece.isalpha() else self.pattern.findall(piece)
 
     def learn(self, pieces: set[str]):
-        """Encode all pieces that are not known yet; their distinct words go through the trie in sorted order."""
-        if len(self.known) > self.MAX_KNOWN:
-            self.known = {"": (b"", b"", 0)}
-        trie = self.trie
-        if len(trie.last) > self.MAX_NODES:
-            trie.clear()
-        split = {p: self._words(p) for p in pieces if p not in self.known}
-        nodes = {}
+        """Make all ``pieces`` known; the distinct words of those that are not go through the trie in sorted order.
+
+        The trie is begun anew whenever it is full, also between two words; a word's tokens are read at once.
+        """
+        known, older, trie = self.known, self.older, self.trie
+        if self.bytes > self.KNOWN_BYTES // 2:
+            self.older = older = known
+            self.known = known = {"": b""}
+            self.bytes = 0
+        split = {}
+        for p in pieces.difference(known):
+            if (made := older.pop(p, None)) is None:
+                split[p] = self._words(p)
+            else:
+                known[p] = made
+                self.bytes += 190 + len(p) + len(made)
+        tokens = {}
         for w in sorted({w for ws in split.values() for w in ws}):
+            if len(trie.last) > self.MAX_NODES:
+                trie.clear()
             s = w.encode().decode("latin-1")
-            nodes[w] = trie.insert(s[:-1] + chr(ord(s[-1]) + 256))
+            tokens[w] = trie.tokens(trie.insert(s[:-1] + chr(ord(s[-1]) + 256)))
         for p, ws in split.items():
-            ts = [t for w in ws for t in trie.tokens(nodes[w])]
-            self.known[p] = (
-                " ".join([str(trie.ids[t]) for t in ts]).encode(), " ".join([self.shown[t] for t in ts]).encode(), len(ts)
-            )
+            known[p] = made = " ".join([self.id_text[t] for w in ws for t in tokens[w]]).encode()
+            self.bytes += 190 + len(p) + len(made)
 
-    def batch(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes]]:
-        """Per text: number of ids, ids in decimal joined by blanks, decoded text (tokens joined by blanks)."""
-        cut, pieces = [], set()
-        for t in texts:
+    def _units(self, texts: list[str | None]):
+        """(number of the text, pieces without blanks, or one special string) in order, at most ``STEP`` pieces each."""
+        for row, t in enumerate(texts):
             segments = self.special.split(t) if t and self.special and self.special.search(t) else [t or ""]
-            segments = [s if i % 2 else s.replace("\n", " ").split(" ") for i, s in enumerate(segments)]
-            cut.append(segments)
-            for s in segments[::2]:
-                pieces.update(s)
-        self.learn(pieces)
-        known, out = self.known, []
-        for segments in cut:
-            found = []
             for i, s in enumerate(segments):
                 if i % 2:
-                    found.append((str(self.special_ids[s]).encode(), s.encode(), 1))
+                    yield row, s
                 else:
-                    found.extend(map(known.__getitem__, s))
-            found = [f for f in found if f[2]]
-            out.append((sum(f[2] for f in found), b" ".join([f[0] for f in found]), b" ".join([f[1] for f in found])))
+                    s = s.replace("\n", " ").split(" ")
+                    for lo in range(0, len(s), self.STEP):
+                        yield row, s[lo : lo + self.STEP]
+
+    def batch(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes]]:
+        """Per text: number of ids, ids in decimal joined by blanks, decoded text (tokens joined by blanks)."""
+        ids: list[list[bytes]] = [[] for _ in texts]
+
+        def settle(units):
+            self.learn({p for _, x in units if type(x) is list for p in x})
+            known = self.known
+            for row, x in units:
+                found = map(known.__getitem__, x) if type(x) is list else [str(self.special_ids[x]).encode()]
+                if found := b" ".join(filter(None, found)):
+                    ids[row].append(found)
+
+        units, size = [], 0
+        for row, x in self._units(texts):
+            units.append((row, x))
+            size += len(x)
+            if size >= self.STEP:
+                settle(units)
+                units, size = [], 0
+        settle(units)
+        out, shown = [], self.shown.__getitem__
+        for row in ids:
+            joined = b" ".join(row)
+            each = joined.split()
+            out.append((len(each), joined, b" ".join(map(shown, each))))
         return out
 
 

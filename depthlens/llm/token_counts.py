@@ -69,7 +69,7 @@ class Counter:
         self.merges = Merges(merges, byte_level.byte_symbols())
         self.pattern = regex.compile(PRETOKENS)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.words = Memo(self._word, 800_000)
+        self.words = Memo(self._word, 96 << 20)
         self.parts = Memo(self._part)
 
     def _word(self, word: str) -> int:

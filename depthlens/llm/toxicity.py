@@ -101,7 +101,7 @@ def fit_link(index, sizes, before, y, weight, steps: int = 150, ridge: float = 5
 
 def frequent_features(texts: list[bytes | None], least_rows: int = 4, step: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """``word_features`` without those of fewer than ``least_rows`` texts, which no link would use; built in small steps."""
-    memo, parts, sizes = Memo(_indices, 40_000), [], []
+    memo, parts, sizes = Memo(_indices, 16 << 20), [], []
     for lo in range(0, len(texts), step):
         index, n = word_features(texts[lo : lo + step], memo)
         parts.append(index.astype(np.int32))
