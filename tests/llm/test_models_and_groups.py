@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,13 +185,112 @@ def test_languages_on_held_out_and_switched_texts(spark):
     assert language_crf.languages(docs.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    grams = np.unique(rng.integers(0, perplexity.KINDS**4, 3000))
-    model = perplexity.Model(grams, rng.integers(1, 9, len(grams)))
-    for context in (int(grams[0]) // 32, 12345, 0):
-        p = np.exp(model.log_p(context * 32 + np.arange(32)))
-        assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+def kneser_ney_by_loops(texts, order):
+    """Modified Kneser-Ney of all n-grams of ``texts``: {gram: (p, q)}; q from counts in which the gram has been seen once less."""
+    top = {}
+    for t in texts:
+        s = b"\n" * (order - 1) + t
+        for i in range(len(t)):
+            top[s[i : i + order]] = top.get(s[i : i + order], 0) + 1
+    levels = [top]
+    for _ in range(order - 1):
+        lower = {}
+        for g in levels[-1]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        levels.append(lower)
+    levels.reverse()
+
+    def cut_of(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        if not all(n):
+            return [0, 0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) for k in (1, 2, 3))]
+
+    cuts = [cut_of(c) for c in levels]
+    followers = [{} for _ in levels]
+    for k, counts in enumerate(levels):
+        for g, c in counts.items():
+            followers[k].setdefault(g[:-1], []).append(c)
+
+    def p(k, g, without):
+        """``without``: one occurrence of the gram less."""
+        if k < 0:
+            return 1 / 256
+        c, d = levels[k][g], cuts[k]
+        cs = list(followers[k][g[:-1]])
+        if without:
+            cs.remove(c)
+            cs.append(c - 1)
+        if sum(cs) == 0:
+            return p(k - 1, g[1:], True)
+        own = c - 1 if without else c
+        freed = sum(d[min(x, 3)] for x in cs)
+        return (own - d[min(own, 3)] + freed * p(k - 1, g[1:], without and c == 1)) / sum(cs)
+
+    return {g: (p(order - 1, g, False), p(order - 1, g, True)) for g in top}
+
+
+def test_model_equals_loops_and_sums_to_one(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcé \n") for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["aaaa aaaa", "", None]
+    docs = spark.createDataFrame([(i, t, "xx" if i % 3 else None, 1, 2, "s") for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.lang, r.gram.to_bytes(perplexity.ORDER)): (r.p, r.q) for r in perplexity.language_model(docs).collect()}
+    want = {}
+    for lang in ("xx", "und"):
+        mine = [t.encode() for i, t in enumerate(texts) if t and (i % 3 > 0) == (lang == "xx")]
+        want |= {(lang, g): pq for g, pq in kneser_ney_by_loops(mine, perplexity.ORDER).items()}
+    assert got.keys() == want.keys()
+    for k, pq in want.items():
+        np.testing.assert_allclose(got[k], pq, rtol=1e-9)
+    # of a context of which every follower is known the probabilities and what is left for others make one
+    for lang in ("xx", "und"):
+        sums = {}
+        for (at, g), (p, _) in got.items():
+            if at == lang:
+                sums[g[:-1]] = sums.get(g[:-1], 0) + p
+        assert all(0 < s <= 1 + 1e-9 for s in sums.values())
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_log_perplexity_equals_loops(spark, block, monkeypatch):
+    """The whole path of counts, model, blocks and sums, also with repeated rows and null ids, in one block and in many."""
+    monkeypatch.setattr(perplexity, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(perplexity, "GATHER", 500)
+    monkeypatch.setattr(perplexity, "KEEP", 400)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "of", "and", "tión"]) for _ in range(rng.randrange(1, 30))) for _ in range(50)]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3]), (3, "other text"), (60, None), (61, "")]
+    docs = spark.createDataFrame([(i, t, "en", 1, 2, "s") for i, t in rows], SCHEMA).repartition(3)
+    model = kneser_ney_by_loops([t.encode() for _, t in rows if t], perplexity.ORDER)
+
+    def log_perplexity(t):
+        s = b"\n" * (perplexity.ORDER - 1) + t.encode()
+        return round(-sum(math.log(max(model[s[i : i + perplexity.ORDER]][1], perplexity.LEAST_P)) for i in range(len(t.encode()))) / len(t.encode()), 4)
+
+    got = sorted((str(r.doc_id), None if r.log_perplexity is None else round(r.log_perplexity, 4)) for r in perplexity.scores(docs).collect() if r.n_bytes)
+    assert got == sorted((str(i), log_perplexity(t)) for i, t in rows if t)
+    assert perplexity.scores(docs).filter("n_bytes = 0 AND log_perplexity IS NULL").count() == 2
+
+
+def base_by_loops(text):
+    words, lines, seen, dup = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode()), (text or "").split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^ \t-\r]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    return len(words), sum(len(w.decode()) for w in words), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_base_measures_equal_loops():
+    rng = random.Random(6)
+    texts = [None, "", " \n\t", "a b c a b c", "é😀\x85x\u2003y #<>|", "x\n x\nx\n\n \nx"]
+    texts += ["".join(rng.choice(["a", "b", "é ", " ", "\n", "#", "cd "]) for _ in range(rng.randrange(80))) for _ in range(300)]
+    got = perplexity.base_measures([t.encode() if t else t for t in texts])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert [tuple(int(got[n][i]) for n in names) for i in range(len(texts))] == [base_by_loops(t) for t in texts]
 
 
 def test_quality_rules(spark):
