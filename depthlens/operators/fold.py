@@ -11,6 +11,8 @@ block by pointer doubling (``_starts_by_jumps``).  The other two folds go in thr
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -185,47 +187,36 @@ def _starts_by_jumps(o: Ordered, slim: DataFrame, gap: float, starts_schema) ->
 
 # ---- overlapping sequence numbers -----------------------------------------------------------
 def _merge_steps(firsts, lasts):
-    """Outgoing number as a step function of the incoming one.
+    """Outgoing number as a step function of the incoming one: pieces (low, high, value); numbers outside pass on.
 
-    Pieces (low, high, value) cover the incoming numbers; value None passes the number on.
     A row maps every current number in [first - 1, last - 1] to ``last``.  The function never
-    decreases, so the affected pieces are neighbours.
+    decreases, so pieces lie in the order of their values, and what a row maps is one stretch of
+    neighbouring pieces (found by bisection) and of the numbers between them: it becomes one
+    piece.  A row makes one piece at most, so all rows together remove no more than they make.
     """
-    pieces = [(-np.inf, np.inf, None)]
+    lows, highs, values = [], [], []
     for first, last in zip(firsts, lasts):
         a, b = first - 1, last - 1
-        out, hit_low, hit_high = [], None, None
-        for low, high, value in pieces:
-            lo, hi = (max(low, a), min(high, b)) if value is None else (
-                (low, high) if a <= value <= b else (1, 0))
-            if lo > hi:
-                out.append((low, high, value))
-                continue
-            if low < lo:
-                out.append((low, lo - 1, value))
-            if hit_low is None:
-                hit_low, at = lo, len(out)
-            hit_high = hi
-            if hi < high:
-                out.append((hi + 1, high, value))
-        if hit_low is not None:
-            out.insert(at, (hit_low, hit_high, last))
-        pieces = out
-    return pieces
+        if b < a:
+            continue
+        i, j = bisect_left(values, a), bisect_right(values, b)
+        # the first piece beyond the row's reach also bounds the numbers that pass on up to here
+        high = lows[j] - 1 if j < len(lows) and lows[j] <= b else max(b, highs[j - 1] if i < j else b)
+        low = min(a, lows[i]) if i < j else a
+        if low <= high:
+            lows[i:j], highs[i:j], values[i:j] = [low], [high], [last]
+    return list(zip(lows, highs, values)) or [(-np.inf, -np.inf, None)]
 
 
 def _chain_steps(firsts, lasts, top):
-    """Incoming numbers up to ``top`` that some row continues exactly, with the outcome."""
-    now, holders = {}, {}
-    for first, last in zip(firsts, lasts):
-        moved = holders.pop(first - 1, [])
-        if first - 1 <= top and first - 1 not in now:
-            moved = [*moved, first - 1]
-        for start in moved:
-            now[start] = last
-        if moved:
-            holders.setdefault(last, []).extend(moved)
-    points = [(start, start, out) for start, out in sorted(now.items())]
+    """Incoming numbers up to ``top`` that some row continues exactly, with the outcome.
+
+    From the last row to the first: a number that a row continues ends where the row's own number does.
+    """
+    outcome = {}
+    for first, last in zip(reversed(list(firsts)), reversed(list(lasts))):
+        outcome[first - 1] = outcome.get(last, last)
+    points = [(start, start, out) for start, out in sorted(outcome.items()) if start <= top]
     return points or [(-np.inf, -np.inf, None)]
 
 
@@ -270,8 +261,10 @@ def sequence_walk(
         def summary(pdf):
             pdf = pdf.sort_values(RN)
             top = float(pdf["top"].iloc[0])
-            steps = _chain_steps(pdf["f"], pdf["l"], top) if strict else [
-                p for p in _merge_steps(pdf["f"], pdf["l"]) if p[0] <= top]
+            rows = pdf["f"].tolist(), pdf["l"].tolist()
+            steps = _chain_steps(*rows, top) if strict else _merge_steps(*rows)
+            # of those that no number can enter one is kept, so that the block has a row
+            steps = [p for p in steps if p[0] <= top] or steps[:1]
             steps = pd.DataFrame(steps, columns=["low", "high", "out"])
             steps["out"] = steps["out"].astype(float)
             for k in [*keys, _BLK, "m"]:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from depthlens.operators import fold
 from depthlens.operators.fold import decision_fires, greedy_starts
 from depthlens.operators.intervals import asof, first_touch, price_tree, range_frame
 from depthlens.operators.ordered import order_rows
@@ -171,3 +172,33 @@ def test_first_touch_reads_one_small_node_a_level(spark):
                     want = (t, i, x, side)
                     break
         assert got[pid] == want
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_sequence_steps_equal_a_walk(strict):
+    rnd = random.Random(12)
+    for _ in range(400):
+        rows = [(f, f + rnd.randrange(0, 6)) for f in (rnd.randrange(1, 40) for _ in range(rnd.randrange(0, 25)))]
+        firsts, lasts = [f for f, _ in rows], [x for _, x in rows]
+        steps = fold._chain_steps(firsts, lasts, 60) if strict else fold._merge_steps(firsts, lasts)
+        for number in range(-2, 60):
+            now = number
+            for f, x in rows:
+                if f == now + 1 if strict else f - 1 <= now <= x - 1:
+                    now = x
+            got = next((out for low, high, out in steps if low <= number <= high and out is not None), number)
+            assert got == now
+
+
+def test_sequence_steps_of_a_full_block_take_little_time():
+    import time
+
+    n = 65_536
+    for rows in (
+        [(10 * i, 10 * i + 5) for i in range(n)], [(10 * (n - i), 10 * (n - i) + 5) for i in range(n)],
+        [(i + 1, i + 1) for i in range(n)], [(1, i + 2) for i in range(n)], [(n - i, 2 * n - i) for i in range(n)],
+    ):
+        began = time.process_time()
+        fold._merge_steps([f for f, _ in rows], [x for _, x in rows])
+        fold._chain_steps([f for f, _ in rows], [x for _, x in rows], 10**9)
+        assert time.process_time() - began < 2
