@@ -72,6 +72,7 @@ def range_table(
     # growing frames are evaluated incrementally, sliding ones row by row
     until = by_ts.rangeBetween(Window.unboundedPreceding, after_ms)
     gone = by_ts.rangeBetween(Window.unboundedPreceding, -before_ms - 1)
+    since = Window.partitionBy(*keys, "__bin").orderBy(F.desc(ts)).rangeBetween(Window.unboundedPreceding, before_ms)
 
     def between(x):
         return F.coalesce(F.sum(x).over(until), F.lit(0)) - F.coalesce(F.sum(x).over(gone), F.lit(0))
@@ -87,9 +88,23 @@ def range_table(
             return F.when(latest["t"] >= F.col(ts) - before_ms, latest["x"])
         if kind == "set":
             return F.array_distinct(F.flatten(F.collect_list(x).over(w)))
-        return (F.min if kind == "min" else F.max)(x).over(w)
-
-    framed = parts.withColumn("__bin", F.explode(bins)).withColumns(
+        # a frame spans two neighbouring aligned stretches of its own length: the end of one, the beginning of the next
+        begin = F.last(F.struct("__cell", f"__end_{name}")).over(since)
+        end = F.last(F.struct("__cell", f"__begin_{name}")).over(until)
+        return (F.least if kind == "min" else F.greatest)(
+            F.when(begin["__cell"] == F.floor((F.col(ts) - before_ms) / width), begin[f"__end_{name}"]),
+            F.when(end["__cell"] == F.floor((F.col(ts) + after_ms) / width), end[f"__begin_{name}"]))
+
+    parts = parts.withColumn("__bin", F.explode(bins))
+    extremes = {n: F.min if kind == "min" else F.max for n, (kind, _) in aggs.items() if kind in ("min", "max")}
+    if extremes:
+        cell = Window.partitionBy(*keys, "__bin", "__cell")
+        so_far = (Window.unboundedPreceding, Window.currentRow)
+        parts = parts.withColumn("__cell", F.floor(F.col(ts) / width)).withColumns({
+            **{f"__begin_{n}": f(n).over(cell.orderBy(ts).rowsBetween(*so_far)) for n, f in extremes.items()},
+            **{f"__end_{n}": f(n).over(cell.orderBy(F.desc(ts)).rowsBetween(*so_far)) for n, f in extremes.items()},
+        })
+    framed = parts.withColumns(
         {n: framed_value(kind, n) for n, (kind, _) in aggs.items()}
     ).filter(F.col("__bin") == F.floor(F.col(ts) / width))
     counts = [n for n, (kind, _) in aggs.items() if kind == "count"]
