@@ -24,7 +24,9 @@ from depthlens.session import write_table
 
 ORDER = 6
 #: n-grams gathered in a task before they are counted, distinct ones kept there, and n-grams of one broadcast block.
-GATHER, KEEP, BLOCK_GRAMS = 6 << 20, 3 << 20, 6 << 20
+GATHER, KEEP, BLOCK_GRAMS = 2 << 20, 3 << 19, 6 << 20
+#: n-grams looked up together.
+LOOK_UP = 1 << 20
 #: Languages whose bands are broadcast; beyond it the planner joins them.
 MOST_BANDS = 100_000
 #: Probabilities count as this at least.
@@ -205,19 +207,28 @@ def base_measures(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 
 
 def _log_sums(c: dict, block: dict) -> list[float]:
-    """Sum of the block's log probabilities over the n-grams of each text."""
+    """Sum of the block's log probabilities over the n-grams of each text, ``LOOK_UP`` n-grams at a time."""
     out = [0.0] * len(c["text"])
     for lang in set(c["lang"]).intersection(block):
         grams, values = block[lang]
-        at = [i for i, g in enumerate(c["lang"]) if g == lang and c["text"][i]]
-        if not at:
-            continue
-        codes, sizes = gram_codes([c["text"][i] for i in at])
-        distinct, back = np.unique(codes, return_inverse=True)
-        place = np.minimum(np.searchsorted(grams, distinct), len(grams) - 1)
-        found = np.where(grams[place] == distinct, values[place], 0.0).astype(np.float64)
-        for i, x in zip(at, np.add.reduceat(found[back], np.cumsum(sizes) - sizes).tolist()):
-            out[i] = x
+        rows, size = [], 0
+        for i, g in enumerate([*c["lang"], lang]):
+            end = i == len(out)
+            if not end and g == lang and c["text"][i]:
+                rows.append(i)
+                size += len(c["text"][i])
+            if rows and (end or size >= LOOK_UP):
+                codes, sizes = gram_codes([c["text"][r] for r in rows])
+                total = np.zeros(len(codes) + 1)
+                for lo in range(0, len(codes), LOOK_UP):
+                    distinct, back = np.unique(codes[lo : lo + LOOK_UP], return_inverse=True)
+                    place = np.minimum(np.searchsorted(grams, distinct), len(grams) - 1)
+                    total[lo + 1 : lo + 1 + len(back)] = np.where(grams[place] == distinct, values[place], 0.0)[back]
+                np.cumsum(total, out=total)
+                ends = np.cumsum(sizes)
+                for r, x in zip(rows, (total[ends] - total[ends - sizes]).tolist()):
+                    out[r] = x
+                rows, size = [], 0
     return out
 
 
