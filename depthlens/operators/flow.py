@@ -30,13 +30,13 @@ def _rows(trades: DataFrame | Ordered) -> DataFrame:
 
 
 # ---- running measures -----------------------------------------------------------------
-def cumulative_delta(trades: DataFrame) -> DataFrame:
+def cumulative_delta(trades: DataFrame | Ordered) -> DataFrame:
     """Cumulative signed notional (``cvd``) after each trade."""
     signed = F.when(_is_buy(), _notional()).otherwise(-_notional())
     return ordered_trades(trades).running({"cvd": ("sum", signed)}).result()
 
 
-def cvd_zscore(trades: DataFrame, period: int = 20, history: int = 120) -> DataFrame:
+def cvd_zscore(trades: DataFrame | Ordered, period: int = 20, history: int = 120) -> DataFrame:
     """z-score of the smoothed normalised volume delta, per distinct trade id.
 
     Like the other running features it also takes ``ordered_trades(...)``, so that several
@@ -77,7 +77,7 @@ def _first_per_id(trades: DataFrame) -> DataFrame:
     ).select("symbol", "trade_id", "r.*")
 
 
-def price_velocity(trades: DataFrame, period: int = 30, max_gap_ms: int = 10_000) -> DataFrame:
+def price_velocity(trades: DataFrame | Ordered, period: int = 30, max_gap_ms: int = 10_000) -> DataFrame:
     """EMA of price speed in bps/s and its z-score over the last 30 values."""
     o = ordered_trades(trades).frame(1, 0, lambda w: {
         "__p": F.lag("price").over(w), "__t": F.lag("ts_ms").over(w)})
@@ -98,7 +98,7 @@ def price_velocity(trades: DataFrame, period: int = 30, max_gap_ms: int = 10_000
     }).drop("__p", "__t", "__m", "__s").result()
 
 
-def return_volatility(trades: DataFrame, period: int = 20, history: int = 300) -> DataFrame:
+def return_volatility(trades: DataFrame | Ordered, period: int = 20, history: int = 300) -> DataFrame:
     """EMA of the sample deviation of the last ``history`` simple returns, in bps."""
     o = ordered_trades(trades).frame(1, 0, lambda w: {"__p": F.lag("price").over(w)})
     o = o.where(F.col("__p") > 0)
@@ -112,7 +112,7 @@ def return_volatility(trades: DataFrame, period: int = 20, history: int = 300) -
         "__p", "__s", "__ema").result()
 
 
-def whale_tiers(trades: DataFrame, bounds=(50_000.0, 200_000.0, 1_000_000.0)) -> DataFrame:
+def whale_tiers(trades: DataFrame | Ordered, bounds=(50_000.0, 200_000.0, 1_000_000.0)) -> DataFrame:
     """Size tier of each trade and running counts per tier."""
     n = _notional()
     tier = F.when(n > bounds[2], 3).when(n > bounds[1], 2).when(n > bounds[0], 1).otherwise(0)
@@ -122,8 +122,9 @@ def whale_tiers(trades: DataFrame, bounds=(50_000.0, 200_000.0, 1_000_000.0)) ->
     }).result()
 
 
-def trade_rates(trades: DataFrame, windows_ms=(1000, 5000, 30_000)) -> DataFrame:
+def trade_rates(trades: DataFrame | Ordered, windows_ms=(1000, 5000, 30_000)) -> DataFrame:
     """Trades of the symbol in the last windows (strictly younger than each window)."""
+    trades = _rows(trades)
     key = ["symbol", "ts_ms"]
     rates = None
     for i, ms in enumerate(windows_ms):
@@ -132,7 +133,7 @@ def trade_rates(trades: DataFrame, windows_ms=(1000, 5000, 30_000)) -> DataFrame
     return trades.join(rates, key, "left")
 
 
-def recent_vwap(trades: DataFrame, n: int = 100, at_least: int = 10) -> DataFrame:
+def recent_vwap(trades: DataFrame | Ordered, n: int = 100, at_least: int = 10) -> DataFrame:
     """Volume-weighted price of the last ``n`` trades; NULL below ``at_least`` trades."""
     o = ordered_trades(trades).frame(n, 0, lambda w: {
         "__pv": rolling_sum(_notional(), n, w), "__v": rolling_sum(F.col("qty"), n, w)})
@@ -163,8 +164,9 @@ def pool_notional(pools: DataFrame, open_interest: DataFrame) -> DataFrame:
         "long_notional": F.col("oi_long") / n, "short_notional": F.col("oi_short") / n})
 
 
-def latest_price(trades: DataFrame, marks: DataFrame) -> DataFrame:
+def latest_price(trades: DataFrame | Ordered, marks: DataFrame) -> DataFrame:
     """Last price per symbol from trades or mark prices (columns symbol, ts_ms, seq, price)."""
+    trades = _rows(trades)
     both = trades.select("symbol", "ts_ms", F.col("trade_id").alias("seq"), "price", F.lit(
         "trade").alias("source")).unionByName(
         marks.select("symbol", "ts_ms", "seq", "price", F.lit("mark").alias("source")))
@@ -195,14 +197,16 @@ def _bar_measures(bars: DataFrame) -> DataFrame:
     })
 
 
-def time_bars(trades: DataFrame, bucket_ms: int = 5000) -> DataFrame:
+def time_bars(trades: DataFrame | Ordered, bucket_ms: int = 5000) -> DataFrame:
     """Flow bars on the aligned grid: symbol, bar_ts, OHLC, volumes, delta, pressure, ..."""
+    trades = _rows(trades)
     grid = F.expr(f"ts_ms div {bucket_ms} * {bucket_ms}").alias("bar_ts")
     return _bar_measures(trades.groupBy("symbol", grid).agg(*_bar_columns()))
 
 
-def idle_closes(trades: DataFrame, bucket_ms: int = 5000) -> DataFrame:
+def idle_closes(trades: DataFrame | Ordered, bucket_ms: int = 5000) -> DataFrame:
     """Time bars with ``close_ts`` and whether silence (no trade for a bucket) closed them."""
+    trades = _rows(trades)
     grid = F.expr(f"ts_ms div {bucket_ms} * {bucket_ms}").alias("bar_ts")
     bars = trades.groupBy("symbol", grid).agg(
         F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
@@ -216,7 +220,7 @@ def idle_closes(trades: DataFrame, bucket_ms: int = 5000) -> DataFrame:
     }).result()
 
 
-def threshold_bars(trades: DataFrame, size: float, measure: Column | None = None) -> DataFrame:
+def threshold_bars(trades: DataFrame | Ordered, size: float, measure: Column | None = None) -> DataFrame:
     """Bars that close with the trade at which ``measure`` (default qty) reaches ``size``."""
     measure = F.col("qty") if measure is None else measure
     o = ordered_trades(trades).col("__m", measure)
@@ -230,7 +234,7 @@ def threshold_bars(trades: DataFrame, size: float, measure: Column | None = None
 
 
 def signal_bars(
-    trades: DataFrame,
+    trades: DataFrame | Ordered,
     liqs: DataFrame,
     mode: str = "aligned",
     bucket_ms: int = 5000,
@@ -241,6 +245,7 @@ def signal_bars(
     mode: ``aligned`` (fixed grid), ``anchored`` (a bar starts at its first event) or
     ``notional`` (a bar closes when its notional reaches ``size``).
     """
+    trades = _rows(trades)
     n = _notional()
     rows = trades.select("symbol", "ts_ms", "trade_id", "price", F.lit(0).alias("kind"),
                          F.when(_is_buy(), n).otherwise(0.0).alias("buys"),
@@ -323,12 +328,13 @@ def _mean_of_last(rows: DataFrame, value: str, order: str, keep: int, warm: int)
     return o.cols({"warmup": warmup, "valid": warmup >= warm}).result()
 
 
-def price_spread(trades: DataFrame) -> DataFrame:
+def price_spread(trades: DataFrame | Ordered) -> DataFrame:
     """Median, sample deviation, MAD and scaled MAD of the price per symbol.
 
     Prices are first counted per distinct price (map-side), so a busy symbol reaches the
     exact percentile as a short histogram.
     """
+    trades = _rows(trades)
     ticks = trades.groupBy("symbol", "price").agg(F.count("*").alias("n"))
     center = ticks.groupBy("symbol").agg(F.percentile("price", 0.5, F.col("n")).alias("median"))
     away = ticks.join(center, "symbol").withColumn("dev", F.abs(F.col("price") - F.col("median")))

@@ -32,3 +32,33 @@ def test_admission_takes_the_strongest_of_equal_signals(spark):
     rows = [("A", 1, "X", "bullish", c, 5.0) for c in (61.0, 90.0, 75.0)]
     df = spark.createDataFrame(rows, "symbol string, ts_ms long, type string, direction string, conf double, price double")
     assert [r.conf for r in signals.admit(df).collect()] == [90.0]
+
+
+def test_every_trade_feature_takes_an_ordering(spark):
+    """``ordered_trades`` instead of trades gives the same rows, for each feature and for the frames built of them."""
+    import random
+
+    from depthlens.operators import book, flow, strategy
+
+    rnd, rows, t = random.Random(2), [], 0
+    for i in range(400):
+        t += rnd.choice([0, 200, 900])
+        rows.append((rnd.choice("ab"), t, i, 100.0 + rnd.randrange(9), rnd.choice([0.0, 1.0, 2.5, 7.25]), rnd.choice(["buy", "sell"])))
+    trades = spark.createDataFrame(rows, "symbol string, ts_ms long, trade_id long, price double, qty double, side string")
+    liqs = trades.filter("trade_id % 9 = 0")
+    marks = trades.select("symbol", "ts_ms", "trade_id", "price").withColumnRenamed("trade_id", "seq").limit(5)
+    calls = {
+        "cumulative_delta": {}, "cvd_zscore": {}, "price_velocity": {}, "return_volatility": {}, "whale_tiers": {}, "trade_rates": {}, "recent_vwap": {},
+        "time_bars": {}, "idle_closes": {}, "threshold_bars": {"size": 20.0}, "volume_buckets": {"bucket": 30.0}, "vpin": {"bucket": 30.0, "warm": 2},
+        "notional_vpin": {"size": 900.0}, "price_spread": {}, "latest_price": {"marks": marks}, "signal_bars": {"liqs": liqs, "mode": "notional", "size": 900.0},
+    }
+    show = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    for name, more in calls.items():
+        f = getattr(flow, name)
+        got = show(f(flow.ordered_trades(trades), **more))
+        assert got == show(f(trades, **more)) and got, name
+    books = spark.createDataFrame(
+        [("a", 4000 * k, k, [(100.0 - j, 2.0 + j) for j in range(6)], [(101.0 + j, 1.0 + (j + k) % 4) for j in range(6)]) for k in range(1, 40)],
+        "symbol string, ts_ms long, seq long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>")
+    frames = strategy.feature_frames(books, trades, bucket=5).collect()
+    assert len(frames) == 39 and {r["data_quality"] for r in frames} and any(r["vpin"] is not None for r in frames)
