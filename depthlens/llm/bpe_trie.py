@@ -40,7 +40,7 @@ class Trie:
         for i, (a, b) in enumerate(merges):
             self.parts.setdefault(a + b, (a, b))
             self.made.setdefault(a + b, i)
-        self.suffixes = {t[i:] for t in ids for i in range(len(t))}
+        self.suffixes = dict.fromkeys((t[i:] for t in ids for i in range(1, len(t))), False) | dict.fromkeys(ids, True)  # whether it is a token
         self.fits: dict[tuple[str, str], bool] = {}
         self.clear()
 
@@ -48,6 +48,7 @@ class Trie:
         self.child: dict[int, int] = {}
         self.last: list[str] = [""]
         self.start = array("i", [0])
+        self.path, self.word = [0], ""  # nodes on the way of the last word
         self.fits.clear()
 
     def compatible(self, left: str, right: str) -> bool:
@@ -76,20 +77,27 @@ class Trie:
         return fits
 
     def insert(self, word: str) -> int:
-        """The node of ``word``; new nodes get their last token."""
-        child, last, start, ids, suffixes = self.child, self.last, self.start, self.ids, self.suffixes
-        at, path = 0, [0]
-        for i, c in enumerate(word, 1):
-            key = at << 9 | ord(c)
+        """The node of ``word``; new nodes get their last token.  The prefix shared with the word before is not walked again."""
+        child, last, start, suffixes, path = self.child, self.last, self.start, self.suffixes, self.path
+        shared, before = 0, self.word
+        for c, d in zip(word, before):
+            if c != d:
+                break
+            shared += 1
+        del path[shared + 1 :]
+        self.word, at = word, path[shared]
+        for i in range(shared + 1, len(word) + 1):
+            key = at << 9 | ord(word[i - 1])
             at = child.get(key)
             if at is None:
                 fitting = []
                 for lo in range(i - 1, -1, -1):
                     token = word[lo:i]
-                    if token not in suffixes:
-                        break
-                    if token in ids:
+                    whole = suffixes.get(token)
+                    if whole:
                         fitting.append((token, path[lo]))
+                    elif whole is None:
+                        break
                 for token, node in reversed(fitting):
                     if not node or self.compatible(last[node], token):
                         break
@@ -150,22 +158,30 @@ class Encoder:
             self.older = older = known
             self.known = known = {"": b""}
             self.bytes = 0
-        split = {}
-        for p in pieces.difference(known):
-            if (made := older.pop(p, None)) is None:
-                split[p] = self._words(p)
-            else:
-                known[p] = made
-                self.bytes += 190 + len(p) + len(made)
-        tokens = {}
-        for w in sorted({w for ws in split.values() for w in ws}):
+
+        def keep(p: str, ids: bytes):
+            known[p] = ids
+            self.bytes += 190 + len(p) + len(ids)
+
+        def unknown(keys):
+            """Those of ``keys`` that are in neither generation; older ones move on."""
+            for k in keys:
+                if (made := older.pop(k, None)) is None:
+                    yield k
+                else:
+                    keep(k, made)
+
+        split = {p: self._words(p) for p in unknown(pieces.difference(known))}
+        # a word of ASCII is a piece of its own and shares its place; no piece begins with a blank
+        words = {w if w.isascii() else " " + w for ws in split.values() for w in ws}
+        for k in sorted(unknown(words.difference(known))):
             if len(trie.last) > self.MAX_NODES:
                 trie.clear()
-            s = w.encode().decode("latin-1")
-            tokens[w] = trie.tokens(trie.insert(s[:-1] + chr(ord(s[-1]) + 256)))
+            s = k.lstrip(" ").encode().decode("latin-1")
+            keep(k, " ".join([self.id_text[t] for t in trie.tokens(trie.insert(s[:-1] + chr(ord(s[-1]) + 256)))]).encode())
         for p, ws in split.items():
-            known[p] = made = " ".join([self.id_text[t] for w in ws for t in tokens[w]]).encode()
-            self.bytes += 190 + len(p) + len(made)
+            if p not in known:
+                keep(p, b" ".join([known[w if w.isascii() else " " + w] for w in ws]))
 
     def _units(self, texts: list[str | None]):
         """(number of the text, pieces without blanks, or one special string) in order, at most ``STEP`` pieces each."""
