@@ -187,7 +187,9 @@ def _starts_by_jumps(o: Ordered, slim: DataFrame, gap: float, starts_schema) ->
 
 # ---- overlapping sequence numbers -----------------------------------------------------------
 def _merge_steps(firsts, lasts):
-    """Outgoing number as a step function of the incoming one: pieces (low, high, value); numbers outside pass on.
+    """Outgoing number as a step function of the incoming one: pieces (low, high, value) cover all numbers.
+
+    A piece without a value passes the number on.
 
     A row maps every current number in [first - 1, last - 1] to ``last``.  The function never
     decreases, so pieces lie in the order of their values, and what a row maps is one stretch of
@@ -205,7 +207,13 @@ def _merge_steps(firsts, lasts):
         low = min(a, lows[i]) if i < j else a
         if low <= high:
             lows[i:j], highs[i:j], values[i:j] = [low], [high], [last]
-    return list(zip(lows, highs, values)) or [(-np.inf, -np.inf, None)]
+    pieces, at = [], -np.inf
+    for low, high, value in zip(lows, highs, values):
+        if at < low:
+            pieces.append((at, low - 1, None))
+        pieces.append((low, high, value))
+        at = high + 1
+    return [*pieces, (at, np.inf, None)]
 
 
 def _chain_steps(firsts, lasts, top):
