@@ -489,7 +489,8 @@ def verify(signals: DataFrame, prices: DataFrame, signal_id: str, from_ms: int =
     plans = signals.filter("direction in ('bullish', 'bearish')").withColumns({
         "start_ms": F.col("ts_ms") + from_ms - 1, "end_ms": F.col("ts_ms") + to_ms,
         "lo": p * (1.0 - move), "hi": p * (1.0 + move)})
-    t = first_touch(plans.drop("ts_ms", "price").withColumn("__p", F.lit(0)), prices, "symbol", signal_id, strict=True)
+    slim = plans.select("symbol", signal_id, "direction", "start_ms", "end_ms", "lo", "hi")
+    t = first_touch(slim, prices, "symbol", signal_id, strict=True)
     up = F.col("touched") == "hi"
     status = F.when(F.col("touched").isNull(), "EXPIRED").when(
         up == (F.col("direction") == "bullish"), "VERIFIED").otherwise("MISSED")

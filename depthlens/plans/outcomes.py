@@ -1,6 +1,6 @@
 """What became of plans and signals: bracket exits and forward returns.
 
-Plans are never walked price by price: each barrier is found by a first-touch search in a tree of price extremes.
+Plans are never walked price by price: each barrier is found by a first-touch search in nodes of ordered prices and their extremes.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthlens.functions.scalar import MAKER_FEE, TAKER_FEE, money_sum, r_multiple
-from depthlens.operators.intervals import PriceTree, asof, first_touch, price_tree, range_frame
+from depthlens.operators.intervals import PriceTree, first_touch, last_price, price_tree, range_frame
 from depthlens.operators.ordered import top_k
 
 
@@ -31,12 +31,11 @@ def _touch(df: DataFrame, prices: PriceTree, stop: str, target: str, prefix: str
     }).drop("lo", "hi", "touch_ts", "touch_id", "touch_price", "touched")
 
 
-def _last_price(df: DataFrame, prices: DataFrame) -> DataFrame:
+def _last_price(df: DataFrame, prices: PriceTree) -> DataFrame:
     """Last price of each plan's interval, NULL if none came after its start."""
-    p = prices.select("symbol", "ts_ms", "trade_id", F.col("price").alias("last_price"), F.col("ts_ms").alias("last_ts"))
-    j = asof(df.withColumn("ts_ms", F.col("end_ms")), p, ["symbol"], "ts_ms", ["last_price", "last_ts"], "plan_id", "trade_id")
+    j = last_price(df, prices, "end_ms", "last_price", "last_ts")
     later = F.col("last_ts") > F.col("submit_ms")
-    return j.withColumn("last_price", F.when(later, F.col("last_price"))).drop("ts_ms", "last_ts")
+    return j.withColumn("last_price", F.when(later, F.col("last_price"))).drop("last_ts")
 
 
 def bracket_outcomes(plans: DataFrame, prices: DataFrame, max_hold_ms: int, tp1_share: float = 0.5,
@@ -58,7 +57,7 @@ def bracket_outcomes(plans: DataFrame, prices: DataFrame, max_hold_ms: int, tp1_
         "start_ms": F.coalesce("a_ts", "start_ms"), "start_id": F.col("a_id"),
         "__stop2": F.when(hit, F.col("entry")), "__tp2": F.when(hit, F.col("tp2"))})
     two = _touch(two, tree, "__stop2", "__tp2", "b")
-    df = _last_price(two, prices)
+    df = _last_price(two, tree)
     s, q, e = _sign(F.col("side")), F.col("qty"), F.col("entry")
     q1 = F.when(hit, q * tp1_share).otherwise(0.0)
     left = q - q1
@@ -108,7 +107,7 @@ def position_outcomes(positions: DataFrame, prices: DataFrame, max_hold_ms: int)
     two = one.withColumns({
         "start_ms": F.coalesce("a_ts", "start_ms"), "start_id": F.col("a_id"), "__flat": F.coalesce(flat, F.lit(False)),
         "__be2": F.when(hit, F.col("breakeven")), "__tp2": F.when(hit, F.col("tp2"))})
-    df = _last_price(_touch(two, tree, "__be2", "__tp2", "b"), prices)
+    df = _last_price(_touch(two, tree, "__be2", "__tp2", "b"), tree)
     b = F.col("b_target")
     status = F.when(~hit, "stopped_out").when(F.col("__flat"), "breakeven").when(b, "tp2_hit").when(
         ~b, "breakeven").when(hit, "tp1_hit").otherwise("open")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from depthlens.operators import fold
 from depthlens.operators.fold import decision_fires, greedy_starts
-from depthlens.operators.intervals import asof, first_touch, price_tree, range_frame
+from depthlens.operators.intervals import asof, first_touch, last_price, price_tree, range_frame
 from depthlens.operators.ordered import order_rows
 
 
@@ -202,3 +202,30 @@ def test_sequence_steps_of_a_full_block_take_little_time():
         fold._merge_steps([f for f, _ in rows], [x for _, x in rows])
         fold._chain_steps([f for f, _ in rows], [x for _, x in rows], 10**9)
         assert time.process_time() - began < most
+
+
+def test_a_crowded_node_is_dealt_to_tasks_and_plans_stay_single(spark, monkeypatch):
+    """Many plans of one node, more than a task should get; every plan keeps one row, touched or not."""
+    monkeypatch.setattr("depthlens.operators.intervals.TASK_ROWS", 50)
+    rnd = random.Random(6)
+    prices = [("a", i // 2, i, 100.0 + rnd.randrange(-20, 20)) for i in range(600)]
+    plans = [("a", i, rnd.randrange(40), 300, 100.0 - rnd.randrange(30), 100.0 + rnd.randrange(30)) for i in range(400)]
+    tree = price_tree(spark.createDataFrame(prices, "k string, ts_ms long, trade_id long, price double"), "k", 64)
+    df = spark.createDataFrame(plans, "k string, pid long, start_ms long, end_ms long, lo double, hi double")
+    rows = first_touch(df, tree, "k", "pid").collect()
+    assert len(rows) == 400
+    got = {r["pid"]: r["touch_id"] for r in rows}
+    priced = {r["pid"]: (r["p"], r["t"]) for r in last_price(df, tree, "start_ms", "p", "t").collect()}
+    for _, pid, start, end, lo, hi in plans:
+        assert got[pid] == next((i for _, t, i, x in prices if start < t <= end and (x <= lo or x >= hi)), None)
+        assert priced[pid] == max((i, (x, t)) for _, t, i, x in prices if t <= start)[1]
+
+
+def test_first_touch_meets_no_arrays_and_takes_one_task_share(spark):
+    """Plans meet prices as sorted rows: a row with a node's 64 children cost 220 microseconds a plan and descent."""
+    from pyspark.sql import types as T
+
+    tree = price_tree(spark.range(5000).selectExpr("'a' as k", "id as ts_ms", "id as trade_id", "cast(id % 100 as double) as price"), "k", 512)
+    assert not any(isinstance(f.dataType, T.ArrayType) for f in tree.prices.schema)
+    assert tree.prices.groupBy("k", "node").count().agg(F.max("count")).first()[0] == 512
+    assert len(tree.leaves["a"]["ts"]) == 10
