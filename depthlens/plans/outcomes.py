@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthlens.functions.scalar import MAKER_FEE, TAKER_FEE, money_sum, r_multiple
-from depthlens.operators.intervals import PriceTree, first_touch, last_price, price_tree, range_frame
+from depthlens.operators.intervals import PriceTree, first_touch, last_price, price_tree, range_frame, task_count
 from depthlens.operators.ordered import top_k
+from depthlens.session import write_table
 
 
 def _sided(side: Column, stop: Column, target: Column) -> dict[str, Column]:
@@ -147,11 +148,14 @@ def forward_returns(signals: DataFrame, prices: DataFrame, signal_id: str, horiz
     ``keep`` the newest signals per horizon (None: all).
     """
     newest = prices.groupBy("symbol").agg(F.max("ts_ms").alias("__end"))
-    parts = []
+    # one row a symbol: joined to the signals once, written, and not after each horizon has shuffled them
+    ends = write_table(newest, "ends")
+    signals = signals.join(ends, "symbol", "left")
+    tasks, parts = task_count(signals), []
     for h in horizons:
         f = range_frame(prices, ["symbol"], "ts_ms", 0, h - 1, {
             "__last": ("last", F.col("price")), "__hi": ("max", F.col("price")), "__lo": ("min", F.col("price")),
-        }, probes=signals, order=["ts_ms", "trade_id"])
+        }, probes=signals, order=["ts_ms", "trade_id"], tasks=tasks)
         parts.append(f.withColumn("horizon_ms", F.lit(h).cast("bigint")))
     df = parts[0]
     for p in parts[1:]:
@@ -161,7 +165,7 @@ def forward_returns(signals: DataFrame, prices: DataFrame, signal_id: str, horiz
     s, e = _sign(F.col("side")), F.col("price")
     best = F.when(s > 0, F.col("__hi")).otherwise(F.col("__lo"))
     worst = F.when(s > 0, F.col("__lo")).otherwise(F.col("__hi"))
-    return df.join(newest, "symbol", "left").withColumns({
+    return df.withColumns({
         "ret": s * (F.col("__last") - e) / e,
         "mfe": F.greatest(s * (best - e) / e, F.lit(0.0)), "mae": F.least(s * (worst - e) / e, F.lit(0.0)),
         "realized": F.coalesce(F.col("__end") >= F.col("ts_ms") + F.col("horizon_ms"), F.lit(False)),

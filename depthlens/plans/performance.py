@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depthlens.functions.scalar import money_sum
 from depthlens.operators.ordered import RN, order_rows
+from depthlens.session import write_table
 
 
 def confidence_bins(verified: DataFrame) -> DataFrame:
@@ -28,13 +29,15 @@ def horizon_metrics(returns: DataFrame) -> DataFrame:
 
     The median is picked by its rank in a distributed ordering, not from a collected list.
     """
-    real = returns.filter("realized").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    # written: counted, ordered and averaged below, but computed once
+    real = write_table(returns.filter("realized").select("horizon_ms", F.coalesce("ret", F.lit(0.0)).alias("ret")), "returns")
     stats = real.groupBy("horizon_ms").agg(
         F.count("*").alias("count"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),
         F.avg("ret").alias("avg_return"), F.avg("ret").alias("expectancy"))
     o = order_rows(real.select("horizon_ms", "ret", F.monotonically_increasing_id().alias("__id")),
                    ["horizon_ms"], ["ret", "__id"])
-    mid = o.df.join(stats.select("horizon_ms", "count"), "horizon_ms").filter(F.expr(f"{RN} = `count` div 2"))
+    # one row a horizon; left to the planner, all returns of a horizon would be sorted in one task
+    mid = o.df.join(F.broadcast(stats.select("horizon_ms", "count")), "horizon_ms").filter(F.expr(f"{RN} = `count` div 2"))
     return stats.join(mid.select("horizon_ms", F.col("ret").alias("median_return")), "horizon_ms")
 
 

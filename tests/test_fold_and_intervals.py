@@ -229,3 +229,19 @@ def test_first_touch_meets_no_arrays_and_takes_one_task_share(spark):
     assert not any(isinstance(f.dataType, T.ArrayType) for f in tree.prices.schema)
     assert tree.prices.groupBy("k", "node").count().agg(F.max("count")).first()[0] == 512
     assert len(tree.leaves["a"]["ts"]) == 10
+
+
+def test_forward_returns_take_more_tasks_for_more_signals(spark, monkeypatch):
+    """Few alike columns shuffle to few bytes; the tasks must still follow the rows, and the returns stay right."""
+    from depthlens.plans.outcomes import forward_returns
+
+    monkeypatch.setattr("depthlens.operators.intervals.TASK_ROWS", 10)
+    prices = [("a", i, i, 100.0 + i) for i in range(200)]
+    p = spark.createDataFrame(prices, "symbol string, ts_ms long, trade_id long, price double")
+    s = p.selectExpr("symbol", "trade_id as sid", "ts_ms", "'BUY' as side", "price")
+    out = forward_returns(s, p, "sid", (5, 20))
+    assert out.rdd.getNumPartitions() >= 40
+    for r in out.collect():
+        last = min(r["ts_ms"] + r["horizon_ms"] - 1, 199)
+        assert abs(r["ret"] - (last - r["ts_ms"]) / r["price"]) < 1e-12
+        assert r["realized"] == (199 >= r["ts_ms"] + r["horizon_ms"])
