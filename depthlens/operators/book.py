@@ -162,23 +162,40 @@ def estimate_fills(
 ) -> DataFrame:
     """Walk the latest book for market orders (symbol, ts_ms, order_id, side, want).
 
-    Adds fill_price, fill_qty and slippage_bps (against mid, capped).  The walk is one
-    fold over the level array of the joined book.
+    Adds fill_price, fill_qty and slippage_bps (against mid, capped).  Each
+    book's levels are summed up once; an order only counts the levels that begin before its quantity is filled.
     """
-    o = asof(orders, books, ["symbol"], "ts_ms", ["bids", "asks"], "order_id", "seq")
+    def sums(levels):
+        """Per level what the levels before it hold and cost: taken once per book, not once per order."""
+        none = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("paid"), F.lit(None).cast("double").alias("price"),
+                        F.lit(None).cast("double").alias("qty"))
+
+        def add(done, l):
+            last = F.coalesce(F.try_element_at(done, F.lit(-1)), none)
+            held = F.coalesce(last["qty"], F.lit(0.0))
+            # a level without a quantity fills whatever is left
+            q = F.when(l["qty"].isNull(), float("inf")).otherwise(F.greatest(l["qty"], F.lit(0.0)))
+            paid = F.when(held > 0, last["paid"] + last["price"] * held).otherwise(last["paid"])
+            return F.concat(done, F.array(F.struct(
+                (last["before"] + held).alias("before"), paid.alias("paid"), l["price"].cast("double").alias("price"), q.alias("qty"))))
+
+        empty = F.array().cast("array<struct<before:double,paid:double,price:double,qty:double>>")
+        return F.aggregate(levels, empty, add)
+
+    walked = books.withColumns({"__mid": bk.mid(), "bids": sums(F.col("bids")), "asks": sums(F.col("asks"))})
+    walked = write_table(walked.select("symbol", "ts_ms", "seq", "__mid", "bids", "asks"), "walked")
+    o = asof(orders, walked, ["symbol"], "ts_ms", ["__mid", "bids", "asks"], "order_id", "seq")
+    o = o.withColumnRenamed("__mid", "mid")
     side = F.when(F.col("side") == "buy", F.col("asks")).otherwise(F.col("bids"))
-    o = o.withColumns({"mid": bk.mid(), "__levels": side})
-    state = F.struct((F.col("want") * impact).alias("left"), F.lit(0.0).alias("cost"),
-                     F.lit(0.0).alias("filled"))
-
-    def take(s, l):
-        q = F.greatest(F.least(l["qty"], s["left"]), F.lit(0.0))
-        return F.struct((s["left"] - q).alias("left"), (s["cost"] + l["price"] * q).alias("cost"),
-                        (s["filled"] + q).alias("filled"))
-
-    o = o.withColumn("__w", F.aggregate(F.col("__levels"), state, take))
-    filled = F.col("__w.filled")
-    avg = F.col("__w.cost") / F.nullif(filled, F.lit(0.0))
+    left = F.coalesce(F.col("want") * impact, F.lit(float("inf")))
+    o = o.withColumns({"__levels": side, "__left": left})
+    reached = F.size(F.filter("__levels", lambda l: l["before"] < F.col("__left")))
+    o = o.withColumn("__w", F.try_element_at("__levels", F.nullif(reached, F.lit(0))))
+    last = F.least(F.col("__w.qty"), F.col("__left") - F.col("__w.before"))
+    filled = F.coalesce(F.col("__w.before") + last, F.when(F.col("__levels").isNotNull(), 0.0))
+    o = o.withColumns({"__filled": filled, "__cost": F.col("__w.paid") + F.col("__w.price") * last})
+    filled = F.col("__filled")
+    avg = F.col("__cost") / F.nullif(filled, F.lit(0.0))
     idle = (F.col("want") <= 0) | F.coalesce(F.col("mid") <= 0, F.lit(True))
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
     bps = F.least(F.abs((avg - F.col("mid")) / F.col("mid")) * 10_000.0, F.lit(max_bps))
@@ -189,7 +206,7 @@ def estimate_fills(
         "fill_qty": F.when(idle | none, 0.0).otherwise(F.least(filled / impact, F.col("want"))),
         "slippage_bps": F.when(idle, 0.0).when(none, max_bps).otherwise(
             round_half_up(bps * 100.0) / 100.0),
-    }).drop("__levels", "__w", "bids", "asks")
+    }).drop("__levels", "__left", "__w", "__filled", "__cost", "bids", "asks")
 
 
 # ---- walls -----------------------------------------------------------------------------------

@@ -240,8 +240,35 @@ def test_forward_returns_take_more_tasks_for_more_signals(spark, monkeypatch):
     p = spark.createDataFrame(prices, "symbol string, ts_ms long, trade_id long, price double")
     s = p.selectExpr("symbol", "trade_id as sid", "ts_ms", "'BUY' as side", "price")
     out = forward_returns(s, p, "sid", (5, 20))
-    assert out.rdd.getNumPartitions() >= 40
+    assert out.rdd.getNumPartitions() >= 20
     for r in out.collect():
         last = min(r["ts_ms"] + r["horizon_ms"] - 1, 199)
         assert abs(r["ret"] - (last - r["ts_ms"]) / r["price"]) < 1e-12
         assert r["realized"] == (199 >= r["ts_ms"] + r["horizon_ms"])
+
+
+def test_fills_count_levels_instead_of_folding_them(spark):
+    """Each order against a loop; the plan of an order holds no fold over the levels of its book."""
+    from depthlens.operators.book import estimate_fills
+
+    rnd = random.Random(8)
+    level = lambda best, step: [(best + step * i, rnd.choice([0.0, 1.5, 4.0, None if i == 9 else 2.0])) for i in range(rnd.randrange(12))]
+    books = [("a", t * 10, t, level(99.0, -1), level(101.0, 1)) for t in range(20)]
+    kind = "array<struct<price:double,qty:double>>"
+    b = spark.createDataFrame(books, f"symbol string, ts_ms long, seq long, bids {kind}, asks {kind}")
+    orders = [("a", rnd.randrange(-20, 220), i, rnd.choice(["buy", "sell"]), rnd.choice([0.0, 0.5, 3.0, 20.0, 500.0])) for i in range(150)]
+    out = estimate_fills(spark.createDataFrame(orders, "symbol string, ts_ms long, order_id long, side string, want double"), b)
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["order_id"]: r for r in out.collect()}
+    assert len(got) == 150
+    for _, ts, i, side, want in orders:
+        past = [x for x in books if x[1] <= ts]
+        if not past or not past[-1][3] or not past[-1][4] or want <= 0:
+            continue
+        left, cost, filled = want, 0.0, 0.0
+        for price, qty in past[-1][4 if side == "buy" else 3]:
+            q = left if qty is None else max(min(qty, left), 0.0)
+            left, cost, filled = left - q, cost + price * q, filled + q
+        assert got[i]["fill_qty"] == (min(filled, want) if filled else 0.0)
+        if filled:
+            assert abs(got[i]["fill_price"] - cost / filled) < 1e-9
