@@ -12,6 +12,7 @@ block by pointer doubling (``_starts_by_jumps``).  The other two folds go in thr
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -92,6 +93,7 @@ def greedy_starts(o: Ordered, coord: str, gap: float, name: str = "is_start") ->
     """
     if gap <= 0:
         raise ValueError("gap must be positive")
+    o = o.kept()
     keys = list(o.keys)
     fields = _key_fields(o)
     rn_field = T.StructField(RN, T.LongType())
@@ -237,6 +239,7 @@ def sequence_walk(
     otherwise ok, and the known number becomes the end of the range.  With ``strict`` a range
     is ok only if it starts at the next number; anything else is a gap.
     """
+    o = o.kept()
     keys = list(o.keys)
     fields = _key_fields(o)
     d, b = T.DoubleType(), T.LongType()
@@ -261,7 +264,7 @@ def sequence_walk(
                       lambda row: row["m"], step)
     else:
         # no number beyond ``top``, the largest one seen before, can enter a block
-        slim = o.with_df(slim).running(
+        slim = replace(o, df=slim).running(
             {"top": ("max", F.greatest("m", "l"))}, inclusive=False
         ).col("top", F.coalesce("top", "m")).df
         slim = slim.withColumn(_BLK, F.floor(F.col(RN) / o.block).cast("bigint"))
@@ -397,6 +400,7 @@ def decision_fires(
     machine; it fires when the same side has stayed above the threshold for ``dwell_ms``.  The tick
     after a fire starts the cool-down; the tick that ends it only returns to IDLE.
     """
+    o = o.kept()
     keys = list(o.keys)
     fields = _key_fields(o)
     d, b, i4 = T.DoubleType(), T.LongType(), T.IntegerType()

@@ -14,7 +14,7 @@ small tables with one row per block:
 Numbering costs nothing extra while every key fits in one block (a count decides): rows are then
 numbered by ``row_number``.  Otherwise the rows are range-sorted on (key, order), which
 splits hot keys by sampling, written to the shared checkpoint folder, and numbered
-from the partition sizes.
+from the partition sizes.  Steps that read their rows twice then write them once (``kept``).
 """
 
 from __future__ import annotations
@@ -41,23 +41,34 @@ class Ordered:
     keys: tuple[str, ...]
     max_rows: int
     block: int
+    #: Whether the rows come straight from a written table, so that reading them again costs a scan.
+    stored: bool = False
 
     # ---- plumbing -------------------------------------------------------------
     def with_df(self, df: DataFrame) -> Ordered:
-        return replace(self, df=df)
+        return replace(self, df=df, stored=False)
+
+    def kept(self) -> Ordered:
+        """Rows for a step that reads them more than once: written, if keys span blocks and they are not yet.
+
+        Else each such step would run all steps before it again, and a chain of them would double the work every time.
+        """
+        if not self.blocked or self.stored:
+            return self
+        return replace(self, df=write_table(self.df, "kept"), stored=True)
 
     def select(self, *cols) -> Ordered:
         """Project; keys and ``rn`` are always kept."""
-        return self.with_df(self.df.select(*self.keys, RN, *cols))
+        return replace(self, df=self.df.select(*self.keys, RN, *cols))
 
     def col(self, name: str, expr: Column) -> Ordered:
-        return self.with_df(self.df.withColumn(name, expr))
+        return replace(self, df=self.df.withColumn(name, expr))
 
     def cols(self, exprs: Mapping[str, Column]) -> Ordered:
-        return self.with_df(self.df.withColumns(dict(exprs)))
+        return replace(self, df=self.df.withColumns(dict(exprs)))
 
     def drop(self, *names: str) -> Ordered:
-        return self.with_df(self.df.drop(*names))
+        return replace(self, df=self.df.drop(*names))
 
     def result(self) -> DataFrame:
         return self.df.drop(RN)
@@ -84,7 +95,7 @@ class Ordered:
         part = [*self.keys, _BLK] if self.blocked else list(self.keys)
         end = 0 if inclusive else -1
         w = Window.partitionBy(*part).orderBy(RN).rowsBetween(Window.unboundedPreceding, end)
-        src = self._with_blk() if self.blocked else self.df
+        src = self.kept()._with_blk() if self.blocked else self.df
         src = src.withColumns({f"__x_{n}": e for n, (_, e) in aggs.items()})
         local = src.withColumns(
             {n: _aggregate(kind, F.col(f"__x_{n}")).over(w) for n, (kind, _) in aggs.items()}
@@ -152,6 +163,8 @@ class Ordered:
         if not self.blocked:
             out = local.withColumns({n: F.col(f"__b_{n}") for n in names})
         else:
+            # read twice: for the blocks' ends and for the rows
+            local = write_table(local, "scanned")
             pair = [F.col(f"__{x}_{n}") for n in names for x in "ab"]
             ends = local.groupBy(*part).agg(
                 F.max_by(F.struct(*pair), F.col(RN)).alias("__end")
@@ -159,14 +172,15 @@ class Ordered:
             blocks = -(-self.max_rows // self.block)
             over = Window.partitionBy(*self.keys).orderBy(_BLK)
             folded = _compose(ends, self.keys, _BLK, names, blocks)
-            carry = folded.select(
+            # one row per block; written so that the planner knows its true size
+            carry = write_table(folded.select(
                 *part, *[F.lag(f"__b_{n}").over(over).alias(f"__c_{n}") for n in names]
-            )
+            ), "carry")
             out = local.join(carry, part, "left").withColumns({
                 n: F.col(f"__b_{n}") + F.col(f"__a_{n}") * F.coalesce(f"__c_{n}", F.lit(0.0))
                 for n in names
             }).drop(_BLK, *[f"__c_{n}" for n in names])
-        return self.with_df(out.drop(*[f"__{x}_{n}" for n in names for x in "ab"]))
+        return replace(self, df=out.drop(*[f"__{x}_{n}" for n in names for x in "ab"]), stored=self.blocked)
 
     def ema(self, columns: Mapping[str, tuple[Column, float]], seed_first: bool = False) -> Ordered:
         """Exponential averages ``new -> (value, alpha)``; start at 0 or at the first value."""
@@ -238,7 +252,7 @@ def order_rows(
     numbered = laid_out.join(offsets, [*keys, "__part"]).withColumn(
         RN, F.col("__at") + F.col("__shift")
     )
-    return Ordered(numbered.drop("__at", "__part", "__shift"), keys, biggest, block)
+    return Ordered(numbered.drop("__at", "__part", "__shift"), keys, biggest, block, stored=True)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"):

@@ -13,7 +13,8 @@ from depthlens.functions.scalar import clamp, decayed, round_half_up
 from depthlens.operators.book import ordered_books
 from depthlens.operators.fold import greedy_starts
 from depthlens.operators.intervals import asof, first_touch, range_frame, range_table
-from depthlens.operators.ordered import RN, order_rows, top_k
+from depthlens.operators.ordered import RN, Ordered, order_rows, top_k
+from depthlens.session import write_table
 
 
 def _signal(df: DataFrame, kind, direction: Column, conf, price) -> DataFrame:
@@ -166,8 +167,14 @@ def void_states(voids: DataFrame, books: DataFrame, life_ms: int = 5000) -> Data
 
 
 # ---- flow bars (rows of flow.signal_bars) ----------------------------------------------------------
-def _bars(bars: DataFrame):
-    return order_rows(bars.withColumn("ts_ms", F.col("end_ts")), ["symbol"], ["bar_ts"])
+def ordered_bars(bars: DataFrame | Ordered) -> Ordered:
+    """Bars in their order, written once; the detectors of flow bars take it wherever they take bars.
+
+    Bars are few rows made of many trades, and an ordering reads its rows more than once.
+    """
+    if isinstance(bars, Ordered):
+        return bars
+    return order_rows(write_table(bars.withColumn("ts_ms", F.col("end_ts")), "bars"), ["symbol"], ["bar_ts"])
 
 
 def absorption(bars: DataFrame, min_delta: float = 100_000.0, max_move: float = 0.0005) -> DataFrame:
@@ -176,24 +183,24 @@ def absorption(bars: DataFrame, min_delta: float = 100_000.0, max_move: float =
     return _signal(hit, "ABSORPTION", _bull(F.col("delta") > 0), 75, F.col("close"))
 
 
-def flow_sustained(bars: DataFrame, n: int = 5) -> DataFrame:
-    o = _bars(bars).frame(n - 1, 0, lambda w: {
+def flow_sustained(bars: DataFrame | Ordered, n: int = 5) -> DataFrame:
+    o = ordered_bars(bars).frame(n - 1, 0, lambda w: {
         "__lo": F.min(F.signum("delta")).over(w.rowsBetween(1 - n, 0)),
         "__hi": F.max(F.signum("delta")).over(w.rowsBetween(1 - n, 0))})
     same = (F.col("__lo") == F.col("__hi")) & (F.col("__lo") != 0) & (F.col(RN) >= n - 1)
     return _signal(o.df.filter(same), "FLOW_SUSTAINED", _bull(F.col("delta") > 0), 60, F.col("close"))
 
 
-def flow_exhaustion(bars: DataFrame, extreme: float = 80.0, share: float = 0.8) -> DataFrame:
-    o = _bars(bars).frame(1, 0, lambda w: {"__p": F.lag("pressure").over(w)})
+def flow_exhaustion(bars: DataFrame | Ordered, extreme: float = 80.0, share: float = 0.8) -> DataFrame:
+    o = ordered_bars(bars).frame(1, 0, lambda w: {"__p": F.lag("pressure").over(w)})
     p = F.abs("pressure")
     hit = o.df.filter((F.col(RN) >= 2) & (p > extreme) & (p > F.abs("__p") * share))
     return _signal(hit, "FLOW_EXHAUSTION", _bull(~(F.col("delta") > 0)), 70, F.col("close"))
 
 
-def flow_exhaustion_by_strength(bars: DataFrame, n: int = 20, level: float = 0.8, similar: float = 0.2) -> DataFrame:
+def flow_exhaustion_by_strength(bars: DataFrame | Ordered, n: int = 20, level: float = 0.8, similar: float = 0.2) -> DataFrame:
     """|delta| above 80 % of the maximum of 20 bars, and close to the previous bar's strength."""
-    o = _bars(bars).frame(n - 1, 0, lambda w: {"__m": F.max(F.abs("delta")).over(w.rowsBetween(1 - n, 0))})
+    o = ordered_bars(bars).frame(n - 1, 0, lambda w: {"__m": F.max(F.abs("delta")).over(w.rowsBetween(1 - n, 0))})
     o = o.col("__s", F.coalesce(F.abs("delta") / F.nullif(F.col("__m"), F.lit(0.0)), F.lit(0.0)))
     o = o.frame(1, 0, lambda w: {"__ps": F.lag("__s").over(w), "__pd": F.lag("delta").over(w)})
     hit = o.df.filter((F.col("__s") > level) & (F.signum("delta") == F.signum("__pd"))
@@ -201,8 +208,8 @@ def flow_exhaustion_by_strength(bars: DataFrame, n: int = 20, level: float = 0.8
     return _signal(hit, "FLOW_EXHAUSTION", _bull(~(F.col("delta") > 0)), 70, F.col("close"))
 
 
-def delta_expansion(bars: DataFrame, min_volume: float = 100_000.0) -> DataFrame:
-    o = _bars(bars).frame(1, 0, lambda w: {"__p": F.lag("delta").over(w)})
+def delta_expansion(bars: DataFrame | Ordered, min_volume: float = 100_000.0) -> DataFrame:
+    o = ordered_bars(bars).frame(1, 0, lambda w: {"__p": F.lag("delta").over(w)})
     hit = o.df.filter((F.abs("delta") > F.abs("__p") * 2.0) & (F.col("volume") > min_volume))
     return _signal(hit, "DELTA_EXPANSION", _bull(F.col("delta") > 0),
                    clamp(F.abs("pressure") * 0.3 + 60.0, 60, 90), F.col("close"))
@@ -246,10 +253,11 @@ def cascade_chains(liqs: DataFrame, gap_ms: int = 2000, anchored: bool = True) -
     o = o.frame(1, 0, lambda w: {"__ps": F.lag("side").over(w), "__pt": F.lag("ts_ms").over(w)})
     turn = F.coalesce(F.col("__ps") != F.col("side"), F.lit(True))
     if anchored:
-        o = o.running({"__run": ("sum", turn.cast("bigint"))})
+        o = o.running({"__run": ("sum", turn.cast("bigint"))}).kept()
+        spans = o.blocked
         runs = order_rows(o.df.drop(RN), ["symbol", "__run"], ["ts_ms", "trade_id"], within=o)
-        starts = greedy_starts(runs, "ts_ms", gap_ms, "__start").df
-        o = order_rows(starts.drop(RN, "__run"), ["symbol"], ["ts_ms", "trade_id"], within=o)
+        starts = greedy_starts(runs, "ts_ms", gap_ms, "__start").df.drop(RN, "__run")
+        o = order_rows(write_table(starts, "starts") if spans else starts, ["symbol"], ["ts_ms", "trade_id"], within=o)
     else:
         o = o.col("__start", turn | (F.col("ts_ms") - F.col("__pt") >= gap_ms))
     o = o.running({
@@ -395,10 +403,11 @@ def admit(signals: DataFrame, cooldown_ms: int = 8000, min_conf: float = 60.0, m
     """
     rest = [c for c in signals.columns if c not in ("symbol", "conf", *ORDER)]
     one = signals.groupBy("symbol", *ORDER).agg(F.max(F.struct("conf", *rest)).alias("__top"))
-    one = one.select("symbol", *ORDER, "__top.*").select(signals.columns)
+    # read by each of the orderings below: written, so that the detectors run once
+    one = write_table(one.select("symbol", *ORDER, "__top.*").select(signals.columns), "signals")
     all_rows = order_rows(one, ["symbol"], ORDER)
     o = order_rows(one, ["symbol", "type"], ["ts_ms", "direction", "price"], within=all_rows)
-    kept = greedy_starts(o, "ts_ms", cooldown_ms, "__in").df.filter("__in").drop("__in", RN)
+    kept = write_table(greedy_starts(o, "ts_ms", cooldown_ms, "__in").df.filter("__in").drop("__in", RN), "kept")
     a = order_rows(kept, ["symbol"], ORDER, within=all_rows)
     a = a.frame(memory_rows, 0, lambda w: {"__back": F.collect_list(F.struct(
         "ts_ms", "direction")).over(w.rowsBetween(-memory_rows, -1))})
@@ -408,7 +417,7 @@ def admit(signals: DataFrame, cooldown_ms: int = 8000, min_conf: float = 60.0, m
     if "vpin" in signals.columns:
         conf = conf * F.when(F.col("vpin") > 0.7, 0.7).otherwise(1.0)
     conf = F.when(allies >= 2, clamp(conf * 1.3, 0, 98)).otherwise(conf)
-    return a.col("conf", round_half_up(conf).cast("double")).drop("__back").result()
+    return write_table(a.col("conf", round_half_up(conf).cast("double")).drop("__back").result(), "admitted")
 
 
 def recent_signals(signals: DataFrame, rows: int = 30) -> DataFrame:

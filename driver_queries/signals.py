@@ -333,7 +333,7 @@ ALL = f"""{CHAINS}, {BARS}, {LAGGED}, {LIQK}, raw AS ({SUSTAINED} UNION ALL {EXH
 
 
 def registry(spark, d):
-    b, l = bars(spark, d), src.liquidations(spark, d)
+    b, l = signals.ordered_bars(bars(spark, d)), src.liquidations(spark, d)
     reg = detectors.DetectorRegistry()
     reg.register("sustained", lambda: signals.flow_sustained(b))
     reg.register("exhaustion", lambda: signals.flow_exhaustion(b, 40.0))

@@ -62,3 +62,40 @@ def test_every_trade_feature_takes_an_ordering(spark):
         "symbol string, ts_ms long, seq long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>")
     frames = strategy.feature_frames(books, trades, bucket=5).collect()
     assert len(frames) == 39 and {r["data_quality"] for r in frames} and any(r["vpin"] is not None for r in frames)
+
+
+def test_admission_and_verification_run_the_detectors_once(spark):
+    """Every ordering of the admission and both sides of the verification's join ran the detectors again."""
+    F, calls = backtest.F, spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    rows = [("A", 10_000 * i, "XY"[i % 2], "bullish", 70.0, 100.0) for i in range(40)]
+    found = spark.createDataFrame(rows, "symbol string, ts_ms long, type string, direction string, conf double, price double")
+    prices = spark.createDataFrame(
+        [("A", 5000 + 10_000 * i, i, 101.0 if i % 2 else 100.0) for i in range(40)], "symbol string, ts_ms long, trade_id long, price double")
+    kept = signals.recent_signals(signals.admit(found.withColumn("ts_ms", counted("ts_ms"))))
+    got = {r.ts_ms: r.verification for r in signals.verify(kept, prices, "signal_no").collect()}
+    # a price above lies in the next 5 to 30 seconds of each signal
+    assert got == {10_000 * i: "VERIFIED" for i in range(40)}
+    assert calls.value == len(rows)
+
+
+def test_bar_detectors_share_written_bars(spark):
+    F, calls = backtest.F, spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    sizes = [float(1 + i % 7) for i in range(60)]
+    bars = flow.signal_bars(trades(spark, sizes), trades(spark, sizes).limit(0), "aligned", 4)
+    alone = [f(bars).collect() for f in (signals.flow_sustained, signals.flow_exhaustion, signals.delta_expansion)]
+    one = signals.ordered_bars(bars.withColumn("delta", counted("delta")))
+    shared = [f(one).collect() for f in (signals.flow_sustained, signals.flow_exhaustion, signals.delta_expansion)]
+    assert [sorted(map(str, x)) for x in shared] == [sorted(map(str, x)) for x in alone]
+    assert calls.value == bars.count()

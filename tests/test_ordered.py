@@ -87,3 +87,22 @@ def test_scan_and_where(ordered):
             assert got[r[2]] == (i, pytest.approx(y, abs=1e-9), pytest.approx(e, abs=1e-9))
             n += 1
     assert n == len(got)
+
+
+def test_chained_steps_run_what_lies_before_them_once(spark):
+    """Each step over blocks that reads its rows twice ran all steps before it twice: four times for two of them."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    n = 300
+    df = spark.range(n).selectExpr("'a' as symbol", "id as ts", "cast(id as double) as x")
+    o = order_rows(df, ["symbol"], ["ts"], block=40).frame(1, 0, lambda w: {"p": F.lag("x").over(w)})
+    o = o.col("y", counted(F.coalesce("p", F.lit(0.0)))).where(F.col("y") >= 0)
+    o = o.frame(3, 0, lambda w: {"m": F.max("y").over(w.rowsBetween(-3, 0))})
+    got = o.ema({"e": (F.col("m"), 1.0)}).running({"s": ("sum", F.col("y"))}).df.orderBy("rn").collect()
+    assert [r.e for r in got] == [float(max(i - 1, 0)) for i in range(n)]
+    assert got[-1].s == sum(range(n - 1)) and calls.value == n
