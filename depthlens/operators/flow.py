@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depthlens.functions.scalar import clamp, z_score
 from depthlens.operators.fold import greedy_starts
 from depthlens.operators.intervals import range_frame, range_table
-from depthlens.operators.ordered import RN, Ordered, order_rows, rolling_sum
+from depthlens.operators.ordered import RN, Ordered, moving_deviation, order_rows, rolling_sum
 
 
 def _is_buy() -> Column:
@@ -103,10 +103,9 @@ def return_volatility(trades: DataFrame | Ordered, period: int = 20, history: in
     o = ordered_trades(trades).frame(1, 0, lambda w: {"__p": F.lag("price").over(w)})
     o = o.where(F.col("__p") > 0)
     o = o.col("ret", (F.col("price") - F.col("__p")) / F.col("__p"))
-    # centred moments per frame: differences of growing sums would cost digits here
-    o = o.frame(history - 1, 0, lambda w: {
-        "__s": F.coalesce(F.stddev_samp("ret").over(w.rowsBetween(1 - history, 0)), F.lit(0.0))})
-    o = o.ema({"__ema": (F.col("__s"), 2.0 / (period + 1))})
+    # centred moments per frame: differences of growing sums would cost digits here, and Spark takes a sliding frame row by row
+    o = o.moving("__s", F.col("ret"), history - 1, lambda x: moving_deviation(x, history))
+    o = o.ema({"__ema": (F.coalesce("__s", F.lit(0.0)), 2.0 / (period + 1))})
     # the first trade of a symbol has no return, so n returns mean n + 1 trades
     return o.cols({"volatility": F.col("__ema") * 10_000.0, "valid": F.col(RN) >= 28}).drop(
         "__p", "__s", "__ema").result()

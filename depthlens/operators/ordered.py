@@ -7,7 +7,7 @@ rows.  Window functions run inside a block; what crosses a block border is added
 small tables with one row per block:
 
 * running aggregates  - block totals, prefix-summed over blocks
-* row frames, lag/lead - the border rows are copied into the neighbouring block
+* row frames, lag/lead - the border rows are copied into the neighbouring block (``moving``: frames as numpy arrays)
 * affine recurrences   - y = a*y' + b composes associatively, so blocks fold to one pair
 * first / last values  - carried like a running aggregate
 
@@ -22,8 +22,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from depthlens.session import block_rows as configured_block_rows
 from depthlens.session import write_table
@@ -31,6 +33,8 @@ from depthlens.session import write_table
 RN = "rn"
 _BLK = "__blk"
 _RADIX = 4
+#: Values of neighbouring frames that are held at once.
+_FRAME_CELLS = 500_000
 
 
 @dataclass(frozen=True)
@@ -134,15 +138,44 @@ class Ordered:
         if not self.blocked:
             w = Window.partitionBy(*self.keys).orderBy(RN)
             return self.with_df(self.df.withColumns(dict(exprs(w))))
-        own, rn = self._blk, F.col(RN)
-        # every block whose frames reach this row: its own and, near a border, neighbours
+        w = Window.partitionBy(*self.keys, _BLK).orderBy(RN)
+        out = self._bordered(before, after).withColumns(dict(exprs(w))).filter(F.col(_BLK) == self._blk).drop(_BLK)
+        return self.with_df(out)
+
+    def _bordered(self, before: int, after: int) -> DataFrame:
+        """The rows of every block whose frames reach them: their own and, near a border, neighbours."""
+        rn = F.col(RN)
         targets = F.sequence(
             F.greatest(F.floor((rn - after) / self.block), F.lit(0)).cast("bigint"),
             F.floor((rn + before) / self.block).cast("bigint"))
-        copied = self.df.withColumn(_BLK, F.explode(targets))
-        w = Window.partitionBy(*self.keys, _BLK).orderBy(RN)
-        out = copied.withColumns(dict(exprs(w))).filter(F.col(_BLK) == own).drop(_BLK)
-        return self.with_df(out)
+        return self.df.withColumn(_BLK, F.explode(targets))
+
+    def moving(self, name: str, value: Column, before: int, fn: Callable[[np.ndarray], np.ma.MaskedArray]) -> Ordered:
+        """Add the double ``name``: ``fn`` of the values of a block's rows in their order, NULLs masked.
+
+        The results of ``fn`` may depend on ``before`` rows back; masked ones become NULL.  For frames that numpy evaluates for
+        a block at once and that Spark would evaluate row by row.
+        """
+        block, blocked = self.block, self.blocked
+        rows = self._bordered(before, 0) if blocked else self.df.withColumn(_BLK, F.lit(0).cast("bigint"))
+        rows = rows.withColumn(name, value.cast("double"))
+        schema = StructType([StructField(f.name, f.dataType, True) for f in rows.drop(_BLK).schema.fields])
+
+        def run(table):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            table = table.sort_by(RN).combine_chunks()
+            x = table.column(name)
+            missing = x.is_null().to_numpy()
+            found = fn(np.ma.masked_array(x.fill_null(0.0).to_numpy(), missing))
+            found = pa.array(np.ma.getdata(found), mask=np.ma.getmaskarray(found))
+            out = table.set_column(table.schema.get_field_index(name), name, found)
+            if blocked:  # copies from the block before end here
+                out = out.filter(pc.greater_equal(out.column(RN), out.column(_BLK)[0].as_py() * block))
+            return out.drop_columns([_BLK])
+
+        return self.with_df(rows.groupBy(*self.keys, _BLK).applyInArrow(run, schema))
 
     # ---- affine recurrences ----------------------------------------------------------
     def scan(self, steps: Mapping[str, tuple[Column, Column]]) -> Ordered:
@@ -272,6 +305,28 @@ def rolling_sum(x: Column, n: int, w: WindowSpec) -> Column:
     return upto - F.coalesce(F.sum(x).over(w.rowsBetween(start, -n)), F.lit(0))
 
 
+def moving_deviation(x: np.ma.MaskedArray, n: int) -> np.ma.MaskedArray:
+    """Sample deviation of the last ``n`` values around their own mean; masked values do not count, fewer than two give a masked one.
+
+    Both passes run over all frames of a few thousand rows at once, so no digits are lost to differences of growing sums.
+    """
+    known = np.concatenate([np.zeros(n), ~np.ma.getmaskarray(x)])
+    values = np.concatenate([np.zeros(n), np.ma.filled(x, 0.0)])
+    frames, knowns = (np.lib.stride_tricks.sliding_window_view(a, n)[1:] for a in (values, known))
+    counts = np.cumsum(known)
+    counts = counts[n:] - counts[:-n]
+    squares = np.empty(len(x))
+    step = max(1, _FRAME_CELLS // n)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for at in range(0, len(x), step):
+            v, c = frames[at:at + step], counts[at:at + step]
+            away = v - (v.sum(axis=1) / np.maximum(c, 1))[:, None]
+            if (c < n).any():
+                away = np.where(knowns[at:at + step] > 0, away, 0.0)
+            squares[at:at + step] = np.square(away, out=away).sum(axis=1)
+        return np.ma.masked_array(np.sqrt(squares / np.maximum(counts - 1, 1)), counts < 2)
+
+
 # ---- aggregate vocabulary ------------------------------------------------------------
 def _aggregate(kind: str, x: Column) -> Column:
     if kind == "first":

@@ -204,8 +204,8 @@ def _(spark, d):
     """SELECT symbol, trade_id, round(ret,6) AS ret, round(e*10000,6) AS volatility, rn>=28 AS valid
 FROM n JOIN rec USING (symbol, rn)"""))
 def _(spark, d):
-    return rounded(flow.return_volatility(src.trades(spark, d)), "symbol trade_id valid",
-                   "ret volatility")
+    trades = src.trades(spark, d).select("symbol", "ts_ms", "trade_id", "price")
+    return rounded(flow.return_volatility(trades), "symbol trade_id valid", "ret volatility")
 
 
 @query("f11_whale_tiers", f"""WITH {ORDERED}, t AS (SELECT *, CASE WHEN notional>60000 THEN 3 WHEN notional>40000 THEN 2

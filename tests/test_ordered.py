@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from depthlens.operators.ordered import order_rows
+from depthlens.operators.ordered import moving_deviation, order_rows
 
 
 def _rows(seed, n=400):
@@ -106,3 +106,38 @@ def test_chained_steps_run_what_lies_before_them_once(spark):
     got = o.ema({"e": (F.col("m"), 1.0)}).running({"s": ("sum", F.col("y"))}).df.orderBy("rn").collect()
     assert [r.e for r in got] == [float(max(i - 1, 0)) for i in range(n)]
     assert got[-1].s == sum(range(n - 1)) and calls.value == n
+
+
+def test_moving_deviation_of_blocks_against_a_loop(ordered):
+    import statistics
+
+    o, groups = ordered
+    big = o.col("x", F.col("x") + 1e9)
+    got = _by_id(big.moving("d", F.col("x"), 5, lambda x: moving_deviation(x, 6)).df, "rn", "d")
+    assert len(got) == sum(map(len, groups.values()))
+    for rows in groups.values():
+        for i, r in enumerate(rows):
+            seen = [p[3] + 1e9 for p in rows[max(0, i - 5): i + 1] if p[3] is not None]
+            want = pytest.approx(statistics.stdev(seen), rel=1e-9, abs=1e-9) if len(seen) > 1 else None
+            assert got[r[2]] == (i, want)
+
+
+def test_volatility_takes_no_sliding_frame_row_by_row(spark):
+    """Numbers with a mean far from 0 keep their digits, over several blocks, and time does not grow with the frame."""
+    import random
+    import statistics
+
+    from depthlens.operators import flow
+
+    rnd = random.Random(5)
+    prices = [100.0 + rnd.randrange(50) for _ in range(500)]
+    rows = [("A", i, i, p) for i, p in enumerate(prices)]
+    trades = spark.createDataFrame(rows, "symbol string, ts_ms long, trade_id long, price double")
+    got = flow.return_volatility(order_rows(trades, ["symbol"], ["ts_ms", "trade_id"], block=120))
+    assert "stddev" not in got._jdf.queryExecution().toString()
+    found = {r.trade_id: (r.ret, r.volatility, r.valid) for r in got.collect()}
+    rets, e = [], 0.0
+    for i in range(1, 500):
+        rets.append((prices[i] - prices[i - 1]) / prices[i - 1])
+        e = e * 19 / 21 + (statistics.stdev(rets[-300:]) if i > 1 else 0.0) * 2 / 21
+        assert found[i] == (rets[-1], pytest.approx(e * 1e4, rel=1e-12), i > 28)
